@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.session import spread
+
 # The operators of the templated functions.
 TEMPLATE_OPERATORS = ("+", "-", "*", "/", "%", "**", "//", "&", "|", "^", "<<", ">>")
 BLANKS = "\t\x0b \u2003\u3000\x85"
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table in enough partitions for work that is heavy on each row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def four_class_label() -> Column:
     return (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
@@ -63,7 +70,7 @@ def templated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("def f_"), F.col("o_orderkey").cast("string"), F.lit("(a, b):\n"), guard,
         F.lit("    return "), left, F.lit(" "), operator, F.lit(" "), right, F.lit("\n"),
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread_table(spark, sf_dir, "orders").select(
         "o_orderkey", code.alias("code"), (F.col("o_orderkey") % 4).cast("int").alias("label")
     )
 
@@ -82,12 +89,12 @@ def templated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("x = "), key, F.lit("\n")))
         .otherwise(whole)
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("code"))
+    return spread_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("code"))
 
 
 def _conversation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn as the old text and the next assistant turn as the new one."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_table(spark, sf_dir, "conversations")
     before = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("old"))
     after = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("new")
@@ -112,7 +119,7 @@ def _order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("--- a/m.py\r\n+++ b/m.py\r\n@@ -1,3 +1,3 @@\r\n def g(a):\r\n"), removed, F.lit("  \r\n+"), fixed,
         F.lit("\r\n # end"),
     )
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("record_id"), diff.alias("diff"))
+    return spread_table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("record_id"), diff.alias("diff"))
 
 
 def built_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,7 @@ def oracle_sql() -> dict[str, str]:
     legacy_terms = document_terms("code", "o_orderkey", legacy_tokens("lower(code)"), 4)
     sql["term_stats"] = f"""WITH {aware_terms} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf
  FROM tfs GROUP BY term"""
+    sql["document_terms"] = f"WITH {aware_terms} SELECT doc_id, term, tf FROM tfs"
     sql["vocabulary_bug_aware"] = f"WITH {aware_terms}, {vocabulary('TRUE', 2, 20000)} SELECT idx, term, df, cf FROM vocab"
     sql["vocabulary_legacy"] = (
         f"WITH {CODE}, {legacy_terms}, {vocabulary('TRUE', 3, 15000)} SELECT idx, term, df, cf FROM vocab"

@@ -297,7 +297,7 @@ def csv_round_trip(spark, sf_dir):
 
 @query
 def text_strip(spark, sf_dir):
-    edged = I.table(spark, sf_dir, "documents").select("doc_id", I.blank_edged("text").alias("text"))
+    edged = I.spread_table(spark, sf_dir, "documents").select("doc_id", I.blank_edged("text").alias("text"))
     text = F.col("text")
     return edged.select(
         "doc_id",
@@ -310,7 +310,7 @@ def text_strip(spark, sf_dir):
 @query
 def text_lines(spark, sf_dir):
     mixed = F.translate("text", " ", "\u2028")
-    lines = I.table(spark, sf_dir, "documents").select("doc_id", split_lines(mixed).alias("lines"))
+    lines = I.spread_table(spark, sf_dir, "documents").select("doc_id", split_lines(mixed).alias("lines"))
     return lines.select(
         "doc_id", F.size("lines").alias("n_lines"), md5_hex(F.array_join("lines", "|")).alias("lines_md5")
     )
@@ -325,10 +325,10 @@ def drop_blank(spark, sf_dir):
 
 
 def _token_digest(spark, sf_dir, tokenize) -> DataFrame:
-    pages = I.table(spark, sf_dir, "pages").select(
+    pages = I.spread_table(spark, sf_dir, "pages").select(
         F.concat(F.lit("page "), F.col("page_id")).alias("key"), F.col("html").alias("text")
     )
-    documents = I.table(spark, sf_dir, "documents").select(
+    documents = I.spread_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc "), F.col("doc_id")).alias("key"), "text"
     )
     code = I.templated_code(spark, sf_dir).select(
@@ -352,7 +352,7 @@ def tokens_bug_aware(spark, sf_dir):
 
 @query
 def ngram_runs(spark, sf_dir):
-    tokens = I.table(spark, sf_dir, "documents").select("doc_id", tokenize_bug_aware(F.lower("text")).alias("tokens"))
+    tokens = I.spread_table(spark, sf_dir, "documents").select("doc_id", tokenize_bug_aware(F.lower("text")).alias("tokens"))
     grams = tokens.select("doc_id", ngrams(F.col("tokens"), 1, 4).alias("grams"))
     return grams.select(
         "doc_id", F.size("grams").alias("n_grams"), md5_hex(F.array_join("grams", "\n")).alias("grams_md5")
@@ -364,52 +364,51 @@ def ngram_runs(spark, sf_dir):
 
 @query
 def term_stats(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents")
-    return features.term_stats(features.terms(documents, "doc_id", "text", features.BUG_AWARE))
+    documents = I.spread_table(spark, sf_dir, "documents")
+    return features.term_stats(documents, "text", features.BUG_AWARE)
+
+
+@query
+def document_terms(spark, sf_dir):
+    return features.terms(I.spread_table(spark, sf_dir, "documents"), "doc_id", "text", features.BUG_AWARE)
 
 
 @query
 def vocabulary_legacy(spark, sf_dir):
     code = I.templated_code(spark, sf_dir)
     legacy = features.LEGACY
-    return features.fit_vocab(
-        features.terms(code, "o_orderkey", "code", legacy), legacy.min_df, legacy.max_features
-    )
+    return features.fit_vocab(features.term_stats(code, "code", legacy), legacy.min_df, legacy.max_features)
 
 
 @query
 def vocabulary_bug_aware(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents")
+    documents = I.spread_table(spark, sf_dir, "documents")
     aware = features.BUG_AWARE
-    return features.fit_vocab(
-        features.terms(documents, "doc_id", "text", aware), aware.min_df, aware.max_features
-    )
+    return features.fit_vocab(features.term_stats(documents, "text", aware), aware.min_df, aware.max_features)
 
 
-def _weights(spark, train: DataFrame, whole: DataFrame, key: str, code: str, profile) -> DataFrame:
-    model = features.fit_tfidf(train, code, profile)
-    words = model.terms_table(spark).select("idx", "term")
-    long = model.long(whole, key, code).join(words, "idx")
+def _weights(train: DataFrame, whole: DataFrame, key: str, code: str, profile) -> DataFrame:
+    long = features.fit_tfidf(train, code, profile).long(whole, key, code)
     return long.select(key, "term", F.round("weight", 6).alias("weight"))
 
 
 @query
 def tfidf_bug_aware(spark, sf_dir):
     """Weights fitted on the training part and applied to every document."""
-    documents = I.table(spark, sf_dir, "documents")
+    documents = I.spread_table(spark, sf_dir, "documents")
     train = documents.where(F.col("doc_id") % 5 != 0)
-    return _weights(spark, train, documents, "doc_id", "text", features.BUG_AWARE)
+    return _weights(train, documents, "doc_id", "text", features.BUG_AWARE)
 
 
 @query
 def tfidf_legacy(spark, sf_dir):
     code = I.templated_code(spark, sf_dir)
-    return _weights(spark, code, code, "o_orderkey", "code", features.LEGACY)
+    return _weights(code, code, "o_orderkey", "code", features.LEGACY)
 
 
 @query
 def encode_fixed(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents").withColumn("tokens", tokenize_bug_aware(F.lower("text")))
+    documents = I.spread_table(spark, sf_dir, "documents").withColumn("tokens", tokenize_bug_aware(F.lower("text")))
     words = features.Profile("words", tokenize_bug_aware, 1, 1, 2, 2000, True)
     model = features.fit_tfidf(documents, "text", words)
     coded = features.encode_fixed(documents.select("doc_id", "tokens"), "tokens", model.vocabulary)

@@ -1,12 +1,11 @@
 """Column functions."""
 
-from siftline.functions.code import ast_features, code_vector, extract_functions
+from siftline.functions.code import ast_features, extract_functions
 from siftline.functions.text import md5_hex, rstrip, split_lines, strip
 from siftline.functions.tokens import tokenize_bug_aware, tokenize_legacy
 
 __all__ = [
     "ast_features",
-    "code_vector",
     "extract_functions",
     "md5_hex",
     "rstrip",

@@ -15,9 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +60,10 @@ _PLAIN_COUNT = {
     ast.For: "loop_count",
     ast.While: "loop_count",
 }
+# Leaves that nothing is counted on: skipping them halves the walk.
+_NO_COUNT = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+# The only kinds of node under which a ``def`` statement can be.
+_HOLDS_STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case)
 
 
 def parse_or_none(code: str | None) -> ast.AST | None:
@@ -76,6 +78,26 @@ def parse_or_none(code: str | None) -> ast.AST | None:
             return None
 
 
+def _children(node: ast.AST, wanted, unwanted=()) -> list[ast.AST]:
+    """Child nodes of the wanted kinds, in source order."""
+    found = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        for child in value if type(value) is list else (value,):
+            if isinstance(child, wanted) and not isinstance(child, unwanted):
+                found.append(child)
+    return found
+
+
+def _functions_by_level(tree: ast.AST) -> list[ast.FunctionDef]:
+    """Every plain ``def``, outer levels first and each level in source order."""
+    found, level = [], [tree]
+    while level:
+        found += [node for node in level if type(node) is ast.FunctionDef]
+        level = [child for node in level for child in _children(node, _HOLDS_STATEMENTS)]
+    return found
+
+
 def feature_counts(code: str | None) -> Counter:
     """Non-zero syntax features of one piece of code; empty when it does not parse."""
     tree = parse_or_none(code)
@@ -83,16 +105,20 @@ def feature_counts(code: str | None) -> Counter:
     if tree is None:
         return seen
     names: Counter = Counter()
-    for node in ast.walk(tree):
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
         kind = type(node)
         if kind is ast.Name:
             names[node.id] += 1
-        elif kind is ast.Compare:
+            continue
+        if kind is ast.Compare:
             seen.update("cmp_" + type(operator).__name__ for operator in node.ops)
         elif kind in _SINGLE_OPERATOR:
             seen[_SINGLE_OPERATOR[kind] + type(node.op).__name__] += 1
         elif kind in _PLAIN_COUNT:
             seen[_PLAIN_COUNT[kind]] += 1
+        waiting += _children(node, ast.AST, _NO_COUNT)
     seen["total_vars"] = names.total()
     seen["unique_vars"] = len(names)
     seen["var_repeat_ratio"] = names.total() / max(len(names), 1)
@@ -129,7 +155,7 @@ def function_slices(code: str | None) -> list[dict]:
     if code is None:
         return []
     tree = parse_or_none(code)
-    found = [node for node in ast.walk(tree) if type(node) is ast.FunctionDef] if tree else []
+    found = _functions_by_level(tree) if tree else []
     if not found:
         return [{"ordinal": 0, "function_name": WHOLE_SNIPPET, "function_code": code}]
     raw = code.encode("utf-8", "surrogatepass")
@@ -180,82 +206,3 @@ def register_sql(spark) -> None:
 
     spark.udtf.register("code_functions", CodeFunctions)
     spark.udf.register("code_features", features)
-
-
-def _sparse_weights(term_counts: pa.Array, terms: pa.Array, idf: np.ndarray, sublinear: bool):
-    """(row offsets, indices, unit-length weights) of a batch, all vectorised."""
-    nested = term_counts.flatten()
-    lengths = np.nan_to_num(
-        pc.list_value_length(term_counts).to_numpy(zero_copy_only=False)
-    ).astype("int64")
-    rows = np.repeat(np.arange(len(term_counts)), lengths)
-    slots = pc.index_in(nested.field("term"), value_set=terms)
-    known = pc.is_valid(slots).to_numpy(zero_copy_only=False).astype(bool)
-    index = slots.fill_null(-1).to_numpy(zero_copy_only=False)[known].astype("int32")
-    tf = nested.field("tf").to_numpy(zero_copy_only=False)[known].astype("float64")
-    rows = rows[known]
-    weight = (1.0 + np.log(tf) if sublinear else tf) * idf[index]
-    norm = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=len(term_counts)))
-    weight = weight / norm[rows]
-    order = np.lexsort((index, rows))
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(term_counts)))])
-    return offsets.astype("int32"), index[order], weight[order]
-
-
-def code_vector(term_counts: Column, vocabulary: pa.Table, sublinear: bool) -> Column:
-    """TF-IDF sparse vector of a row from its term counts.
-
-    ``vocabulary`` holds ``term`` and ``idf`` in index order and never more rows
-    than the fit's ``max_features``. Weights come out with no shuffle at all,
-    because each row already carries all its terms.
-    """
-    terms = vocabulary.column("term").combine_chunks()
-    idf = vocabulary.column("idf").to_numpy()
-
-    @F.arrow_udf(VectorUDT())
-    def vector(counts: pa.Array) -> pa.Array:
-        offsets, index, weight = _sparse_weights(counts, terms, idf, sublinear)
-        size = len(counts)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(np.zeros(size, "int8")),
-                pa.array(np.full(size, len(idf), "int32")),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(index)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(weight)),
-            ],
-            names=["type", "size", "indices", "values"],
-        )
-
-    return vector(term_counts)
-
-
-def code_weights(term_counts: Column, vocabulary: pa.Table, sublinear: bool) -> Column:
-    """The same weights as ``ARRAY<STRUCT<idx, weight>>``, for long tables."""
-    terms = vocabulary.column("term").combine_chunks()
-    idf = vocabulary.column("idf").to_numpy()
-
-    @F.arrow_udf("array<struct<idx:int,weight:double>>")
-    def weights(counts: pa.Array) -> pa.Array:
-        offsets, index, weight = _sparse_weights(counts, terms, idf, sublinear)
-        pairs = pa.StructArray.from_arrays([pa.array(index), pa.array(weight)], names=["idx", "weight"])
-        return pa.ListArray.from_arrays(pa.array(offsets), pairs)
-
-    return weights(term_counts)
-
-
-def vocabulary_ids(tokens: Column, vocabulary: pa.Table) -> Column:
-    """``ARRAY<INT>`` of vocabulary places plus one, in token order, unknown ones left out."""
-    terms = vocabulary.column("term").combine_chunks()
-
-    @F.arrow_udf("array<int>")
-    def ids(lists: pa.Array) -> pa.Array:
-        lengths = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype("int64")
-        rows = np.repeat(np.arange(len(lists)), lengths)
-        slots = pc.index_in(lists.flatten(), value_set=terms)
-        known = pc.is_valid(slots).to_numpy(zero_copy_only=False).astype(bool)
-        values = slots.fill_null(-1).to_numpy(zero_copy_only=False)[known].astype("int32") + 1
-        ends = np.cumsum(np.bincount(rows[known], minlength=len(lists)))
-        offsets = np.concatenate([[0], ends]).astype("int32")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype("int32")))
-
-    return ids(tokens)

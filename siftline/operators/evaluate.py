@@ -6,6 +6,7 @@ from that table of at most classes-squared rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,13 @@ def confusion_matrix(
     """One row per actual class, a ``predicted_<class>`` column each, zeros kept."""
     classes = sorted(LABEL_NAMES) if classes is None else classes
     cells = confusion_cells(df, label, prediction)
-    every = df.sparkSession.createDataFrame([(code,) for code in classes], "actual int")
+    every = df.sparkSession.createDataFrame(pa.table({"actual": pa.array(classes, pa.int32())}))
     counts = [
         F.sum(F.when(F.col("predicted") == code, F.col("n")).otherwise(0)).alias(f"predicted_{code}")
         for code in classes
     ]
     rows = cells.withColumn("actual", F.col("actual").cast("int")).groupBy("actual").agg(*counts)
-    return F.broadcast(every).join(rows, "actual", "left").fillna(0).orderBy("actual")
+    return every.join(rows, "actual", "left").fillna(0).orderBy("actual")
 
 
 def _ratio(part, whole):

@@ -11,15 +11,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.code import (
-    AST_FEATURES,
-    ast_features,
-    code_vector,
-    code_weights,
-    extract_functions,
+from siftline.functions.code import AST_FEATURES, ast_features, extract_functions
+from siftline.functions.terms import (
+    batch_term_stats,
+    term_counts,
+    tfidf_vector,
+    tfidf_weights,
     vocabulary_ids,
 )
-from siftline.functions.tokens import count_terms, ngrams, tokenize_bug_aware, tokenize_legacy
+from siftline.functions.tokens import tokenize_bug_aware, tokenize_legacy
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,14 @@ class Profile:
     max_features: int
     sublinear: bool
 
+    def tokens(self, code: str) -> Column:
+        """Tokens of the lower-cased text."""
+        return self.tokenize(F.lower(F.col(code)))
+
+    @property
+    def weighting(self) -> tuple[int, int, bool]:
+        return self.shortest, self.longest, self.sublinear
+
 
 # Settings of the two vectorizers.
 BUG_AWARE = Profile("bug_aware", tokenize_bug_aware, 1, 2, 2, 20_000, True)
@@ -41,50 +49,30 @@ LEGACY = Profile("legacy", tokenize_legacy, 1, 4, 3, 15_000, False)
 PROFILES = {profile.name: profile for profile in (BUG_AWARE, LEGACY)}
 
 
-def with_term_counts(df: DataFrame, code: str, profile: Profile) -> DataFrame:
-    """Add ``term_counts``: the distinct terms of the row with their counts.
-
-    Text is lower-cased before it is tokenised. Everything happens within the row.
-    """
-    tokens = df.withColumn("_tokens", profile.tokenize(F.lower(F.col(code))))
-    grams = tokens.withColumn("_terms", ngrams(F.col("_tokens"), profile.shortest, profile.longest))
-    return count_terms(grams.drop("_tokens"), "_terms", "term_counts")
-
-
 def terms(df: DataFrame, key: str, code: str, profile: Profile) -> DataFrame:
-    """(key, term, tf): one row per distinct term of a document."""
-    return _unfold(with_term_counts(df.select(key, code), code, profile), key)
-
-
-def _unfold(counted: DataFrame, *keys: str) -> DataFrame:
-    """One row per term. An inner generator would make Catalyst infer a filter on the
-    array's size and push a copy of the whole tokenizer below it; the outer one does not."""
-    return counted.select(*keys, F.inline_outer("term_counts")).where(F.col("term").isNotNull())
+    """(key, term, tf): one row per distinct term of a document, counted within the row."""
+    counted = term_counts(profile.tokens(code), profile.shortest, profile.longest)
+    return df.select(key, F.inline(counted))
 
 
-def term_stats(document_terms: DataFrame) -> DataFrame:
+def term_stats(df: DataFrame, code: str, profile: Profile) -> DataFrame:
     """(term, df, cf): documents holding the term, and its uses in all.
 
-    The input has a term once per document, so both are plain sums with map-side
-    combining and a frequent term costs no more than a rare one.
+    Counts are combined per batch, again per task, and only then shuffled by term, so
+    a term found in every document costs no more than a rare one.
     """
-    return document_terms.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")
-    )
+    tokens = df.select(profile.tokens(code).alias("tokens"))
+    partial = batch_term_stats(tokens, "tokens", profile.shortest, profile.longest)
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def fit_vocab(document_terms: DataFrame, min_df: int, max_features: int) -> DataFrame:
+def fit_vocab(stats: DataFrame, min_df: int, max_features: int) -> DataFrame:
     """(idx, term, df, cf) of the most used terms; index in term order, from 0.
 
     Ties at the cut go to the earlier term. The numbering window sees at most
     ``max_features`` rows.
     """
-    top = (
-        term_stats(document_terms)
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
-    )
+    top = stats.where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
     index = (F.row_number().over(Window.orderBy("term")) - 1).alias("idx")
     return top.select(index, "term", "df", "cf")
 
@@ -104,15 +92,13 @@ class TfidfModel:
 
     def vector(self, df: DataFrame, code: str, into: str = "tfidf") -> DataFrame:
         """Add the sparse unit-length TF-IDF vector of each row."""
-        counted = with_term_counts(df, code, self.profile)
-        vector = code_vector(F.col("term_counts"), self.vocabulary, self.profile.sublinear)
-        return counted.withColumn(into, vector).drop("term_counts")
+        tokens = self.profile.tokens(code)
+        return df.withColumn(into, tfidf_vector(tokens, self.profile.weighting, self.vocabulary))
 
     def long(self, df: DataFrame, key: str, code: str) -> DataFrame:
-        """(key, idx, weight), one row per known term of a document."""
-        counted = with_term_counts(df.select(key, code), code, self.profile)
-        weights = code_weights(F.col("term_counts"), self.vocabulary, self.profile.sublinear)
-        return counted.select(key, F.inline(weights))
+        """(key, term, weight), one row per known term of a document."""
+        tokens = self.profile.tokens(code)
+        return df.select(key, F.inline(tfidf_weights(tokens, self.profile.weighting, self.vocabulary)))
 
     def terms_table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.vocabulary)
@@ -130,9 +116,8 @@ def fit_tfidf(
     The vocabulary holds at most ``max_features`` rows, so bringing it to the driver
     and into the tasks is bounded by a parameter and not by the data.
     """
-    counted = _unfold(with_term_counts(df.select(code), code, profile))
     vocab = fit_vocab(
-        counted,
+        term_stats(df, code, profile),
         profile.min_df if min_df is None else min_df,
         profile.max_features if max_features is None else max_features,
     )

@@ -70,3 +70,19 @@ def bounded_local(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFr
     if fetched.num_rows > max_rows:
         return df, None
     return df.sparkSession.createDataFrame(fetched, schema=df.schema), fetched
+
+
+#: Input bytes per core below which a table is taken to have too few partitions.
+SMALL_SHARE = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before work that is heavy on each row.
+
+    A file with one row group, or one gzip shard, is read by one task whatever its
+    split size. The size comes from Catalyst's own statistics; an input with a fair
+    share for every core is left alone, so large scans get no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df

@@ -7,7 +7,7 @@ import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -27,25 +27,25 @@ def connect(sf_dir: str):
     return connection
 
 
-def canonical(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    frame = frame.where(frame.notna(), None)
-    return sorted((tuple(row) for row in frame.itertuples(index=False, name=None)), key=repr)
+def canonical(table: pa.Table) -> list[tuple]:
+    names = sorted(table.column_names)
+    return sorted(zip(*[table.column(name).to_pylist() for name in names], strict=True), key=repr)
 
 
 def compare(spark, connection, sf_dir: str, name: str) -> str | None:
-    """None where rows, columns and values agree, else what differs."""
-    got = contract.queries()[name](spark, sf_dir).toPandas()
-    want = connection.execute(contract.oracle_sql()[name]).df()
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
-    if len(got) != len(want):
-        return f"rows {len(got)} vs {len(want)}"
-    kinds = {c: (got[c].dtype, want[c].dtype) for c in got.columns if got[c].dtype.kind != want[c].dtype.kind}
+    """None where rows, columns, types and values agree, else what differs."""
+    got = contract.queries()[name](spark, sf_dir).toArrow()
+    want = connection.execute(contract.oracle_sql()[name]).to_arrow_table()
+    if sorted(got.column_names) != sorted(want.column_names):
+        return f"columns {sorted(got.column_names)} vs {sorted(want.column_names)}"
+    if got.num_rows != want.num_rows:
+        return f"rows {got.num_rows} vs {want.num_rows}"
     left, right = canonical(got), canonical(want)
     if left != right:
         pair = next((a, b) for a, b in zip(left, right, strict=True) if a != b)
         return f"values {str(pair)[:600]}"
+    kinds = {c: (str(got.schema.field(c).type), str(want.schema.field(c).type)) for c in got.column_names}
+    kinds = {c: pair for c, pair in kinds.items() if pair[0] != pair[1]}
     return f"types {kinds}" if kinds else None
 
 
