@@ -194,7 +194,7 @@ def quota_fill(source: str, label: str, total: int, named: dict[str, int]) -> st
     """CTEs up to ``quotas``: (label, quota) of the quota-then-fill rule."""
     want = "CASE " + label + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in named.items()) + " END"
     return f"""totals AS (SELECT {label}, count(*) AS n, {want} AS want FROM {source} GROUP BY {label}),
- shares AS (SELECT *, {total} - sum(coalesce(least(want, n), 0)) OVER () AS remainder,
+ shares AS (SELECT *, {total} - sum(CASE WHEN want IS NOT NULL THEN least(want, n) ELSE 0 END) OVER () AS remainder,
    sum(CASE WHEN want IS NULL THEN n ELSE 0 END) OVER () AS pool FROM totals),
  rounded AS (SELECT *, CASE WHEN want IS NULL THEN
    least(n, CAST(round_even(CAST(remainder AS DOUBLE) * n / pool, 0) AS BIGINT)) END AS share FROM shares),
@@ -232,6 +232,9 @@ def oracle_sql() -> dict[str, str]:
     sql["map_labels"] = f"WITH {MAPPED} SELECT doc_id, label, bug_type, source_task FROM mapped"
     sql["skipped_labels"] = f"""WITH {RAW} SELECT source_task, count(*) AS skipped FROM raw
  WHERE label_text IS NULL OR label_text = 'Unknown' GROUP BY source_task"""
+    sql["label_counters"] = f"""WITH {RAW} SELECT count(*) AS total,
+ count(*) FILTER (label_text IS NULL OR label_text = 'Unknown') AS skipped,
+ count(*) FILTER (label_text = 'Correct') AS clean FROM raw"""
     sql["union_all"] = f"WITH {MAPPED} SELECT label, {DISTRIBUTION} FROM mapped GROUP BY label"
     sql["label_names"] = f"WITH {LABELLED} SELECT doc_id, label, {NAME} AS bug_type FROM labelled"
     sql["event_type_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"

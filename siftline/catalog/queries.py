@@ -12,6 +12,7 @@ from siftline.operators import curate, diffs, evaluate, features, filters, learn
 from siftline.operators.counts import (
     balanced_weights,
     class_distribution,
+    counters,
     most_common,
     value_counts,
     with_label_name,
@@ -72,6 +73,13 @@ def skipped_labels(spark, sf_dir):
     return curate.skipped_labels(I.raw_labelled_documents(spark, sf_dir))
 
 
+@query
+def label_counters(spark, sf_dir):
+    raw = I.raw_labelled_documents(spark, sf_dir)
+    unknown = F.col("label").isNull() | (F.col("label") == "Unknown")
+    return counters(raw, skipped=unknown, clean=F.col("label") == "Correct")
+
+
 @query
 def union_all(spark, sf_dir):
     raw = curate.map_labels(I.raw_labelled_documents(spark, sf_dir))

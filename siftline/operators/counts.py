@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.schemas import LABEL_NAMES
@@ -53,11 +53,12 @@ def balanced_weights(df: DataFrame, label: str = "label", into: str = "weight")
     return df.join(weights, label)
 
 
-def with_counters(df: DataFrame, name: str = "rows", **conditions) -> tuple[DataFrame, Observation]:
-    """Count rows, and rows meeting each named condition, while ``df`` is being used.
+def counters(df: DataFrame, **conditions) -> DataFrame:
+    """One row: ``total`` and the rows meeting each named condition, in one pass.
 
-    Read the numbers with ``observation.get`` after the first action.
+    An ``Observation`` would count while the data is used for something else, but
+    once a session has one, ML models of Spark 4.1 no longer transform in it: their
+    functions carry the session, which then holds a part that cannot be serialised.
     """
-    observed = Observation(name)
-    counts = [F.count_if(condition).alias(key) for key, condition in conditions.items()]
-    return df.observe(observed, F.count(F.lit(1)).alias("total"), *counts), observed
+    counts = [F.count_if(condition).alias(name) for name, condition in conditions.items()]
+    return df.agg(F.count(F.lit(1)).alias("total"), *counts)

@@ -11,6 +11,9 @@ from siftline.functions.text import strip
 #: Pattern name given to a change that fits no specific pattern.
 CATCH_ALL_PATTERN = "SINGLE_STMT"
 
+# JSON texts of the values Python takes for false.
+FALSY_JSON = r'^(?:false|null|""|\[\]|\{\}|-?0(?:\.0+)?(?:[eE][+-]?[0-9]+)?)$'
+
 STRICT = "strict"
 LOOSE = "loose"
 
@@ -32,15 +35,7 @@ def is_truthy(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, T.StringType):
         truth = value != ""
     elif isinstance(kind, T.VariantType):
-        number = F.try_variant_get(value, "$", "double")
-        shape = F.schema_of_variant(value)
-        truth = (
-            F.when(shape == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-            .when(shape.startswith("ARRAY") | shape.startswith("OBJECT"), ~F.to_json(value).isin("[]", "{}"))
-            .when(shape == "STRING", F.try_variant_get(value, "$", "string") != "")
-            .when(shape == "VOID", F.lit(False))
-            .otherwise(number != 0)
-        )
+        truth = ~F.to_json(value).rlike(FALSY_JSON)
     else:
         truth = value != 0
     return F.coalesce(truth, F.lit(False))
@@ -62,7 +57,7 @@ def specific_pattern(df: DataFrame, mode: str, column: str = "sstub_pattern") ->
     named = ~strip(text).isin("", CATCH_ALL_PATTERN)
     kind = df.schema[column].dataType
     if isinstance(kind, T.VariantType):
-        named = named & (F.schema_of_variant(column) == "STRING")
+        named = F.to_json(column).startswith('"') & named
     elif not isinstance(kind, T.StringType):
         named = F.lit(False)
     return F.coalesce(named, F.lit(False))
@@ -75,7 +70,7 @@ def likely_bug(df: DataFrame, mode: str, column: str = "likely_bug") -> Column:
         return is_truthy(df, column)
     kind = df.schema[column].dataType
     if isinstance(kind, T.VariantType):
-        flag = (F.schema_of_variant(column) == "BOOLEAN") & F.try_variant_get(column, "$", "boolean")
+        flag = F.to_json(column) == "true"
     elif isinstance(kind, T.BooleanType):
         flag = F.col(column)
     else:

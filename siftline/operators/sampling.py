@@ -174,7 +174,7 @@ def fill_quotas(totals: DataFrame, label: str, total: int, named: dict[str, int]
     for name, count in named.items():
         want = F.when(F.col(label) == name, F.lit(count).cast("long")).otherwise(want)
     fixed = totals.withColumn("_want", want).withColumn(
-        "_fixed", F.coalesce(F.least("_want", "n"), F.lit(0))
+        "_fixed", F.when(F.col("_want").isNotNull(), F.least("_want", "n")).otherwise(0)
     )
     other = F.when(F.col("_want").isNull(), F.col("n")).otherwise(0)
     sized = fixed.withColumn(

@@ -31,9 +31,8 @@ def write_code_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
-    """(path, code): one row per source file, searched for below ``path``."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    files = reader.option("pathGlobFilter", pattern).text(path)
+    """(path, code): one row per source file that is not empty, searched for below ``path``."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
 
 

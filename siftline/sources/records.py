@@ -18,10 +18,11 @@ def parse_records(df: DataFrame, line: str = "value") -> DataFrame:
     Blank lines and lines that are not JSON drop out; a field that is missing or of
     another type becomes NULL and the record stays. Each line is parsed once.
     """
-    parsed = df.where(strip(F.col(line)) != "").withColumn("_record", parse_json(strip(clean_utf8(F.col(line)))))
-    held = parsed.select(
-        *[name for name in df.columns if name != line], F.explode(F.array("_record")).alias("_record")
-    ).where(F.col("_record").isNotNull())
+    kept = [name for name in df.columns if name != line]
+    clean = df.select(*kept, clean_utf8(F.col(line)).alias("_clean"))
+    # JSON's own blanks need no stripping; the second try is for lines edged with others.
+    record = F.coalesce(parse_json(F.col("_clean")), parse_json(strip(F.col("_clean"))))
+    held = clean.select(*kept, F.explode(F.array(record)).alias("_record")).where(F.col("_record").isNotNull())
     fields = [
         F.try_variant_get("_record", f"$.{name}", "string").alias(name) for name in COMMIT_TEXT_FIELDS
     ]
@@ -32,7 +33,7 @@ def parse_records(df: DataFrame, line: str = "value") -> DataFrame:
         F.try_variant_get("_record", f"$.{name}", "variant").alias(name) for name in COMMIT_OPEN_FIELDS
     ]
     script = F.to_json(F.try_variant_get("_record", "$.edit_script", "variant")).alias("edit_script")
-    return held.select(*[name for name in df.columns if name != line], *fields, script)
+    return held.select(*kept, *fields, script)
 
 
 def read_commit_records(
