@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import md5_hex
+from siftline.operators.skew import balanced_anti_join
 from siftline.schemas import CLEAN_TEXT, LABEL_NAMES, TASK_LABELS
 from siftline.session import written
 
@@ -78,11 +79,10 @@ def exclude_seen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``seen``; duplicates in ``df`` stay.
 
     The seen keys are made distinct (map-side combined) and written as a narrow
-    table. If its files are small, Catalyst broadcasts it; otherwise both sides
-    reach the join straight from a shuffle, the shape in which AQE splits a key of
-    ``df`` that holds a large part of the rows.
+    table, whose size then decides between a broadcast and a join that deals hot keys
+    of ``df`` over all partitions.
     """
-    return df.join(written(_distinct_keys(seen, key), "seen-keys"), key, "left_anti")
+    return balanced_anti_join(df, written(_distinct_keys(seen, key), "seen-keys"), key)
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -46,8 +46,8 @@ def run_classifier_pipeline(
 ) -> ClassifierRun:
     """Curate, split, train on the train part, and evaluate on the rest."""
     sample = written(curate_functions(raw, order, target, seed), "sample")
+    # Both parts are filters on the scan of the sample, so they are not written again.
     train, test = stratified_split(sample, "label", test_fraction, order, seed)
-    train, test = written(train, "train"), written(test, "test")
     model = fit_boosted(train, "function", "label", seed=seed, **training)
     scored = written(score_multiclass(test.drop("bug_type"), model, "function"), "scored")
     return ClassifierRun(train, test, model, scored, *evaluate(scored))

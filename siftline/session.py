@@ -84,5 +84,15 @@ def spread(df: DataFrame) -> DataFrame:
     share for every core is left alone, so large scans get no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+    return df.repartition(cores) if planned_bytes(df) < cores * SMALL_SHARE else df
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``; for a written table, its file size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst itself will broadcast ``df`` by its known size."""
+    threshold = df._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return planned_bytes(df) <= threshold

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,11 @@ def read_commit_records(
     A gzip shard is read by one task, since gzip cannot be split. With few and
     large shards give ``partitions`` to spread the lines before they are parsed.
     """
-    lines = spark.read.text(path).select(
+    try:
+        text = spark.read.text(path)
+    except AnalysisException as problem:
+        raise FileNotFoundError(f"no record shards under {path}") from problem
+    lines = text.select(
         "value",
         F.col("_metadata.file_path").alias("shard"),
         F.col("_metadata.file_block_start").alias("shard_offset"),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import curate, filters, repair_text
+from siftline.operators import curate, filters, repair_text, skew
 from siftline.operators.counts import balanced_weights, class_distribution, counters, most_common, value_counts
 
 
@@ -53,16 +53,27 @@ def test_exclude_and_overlap(spark):
     curate.assert_disjoint(left.where("k = 'a'"), right, "k")
 
 
-def test_exclude_seen_without_broadcast(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_exclude_seen_with_hot_keys(spark):
+    """A third of the rows share a key that is not seen, a sixth have none: every task gets a part."""
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for name, value in settings:
+        spark.conf.set(name, value)
     try:
-        hot = spark.range(50_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-        seen = spark.range(0, 50_000, 2).select(F.col("id").alias("k"))
-        got = curate.exclude_seen(hot, seen, "k")
+        n = F.col("id")
+        key = F.when(n % 3 == 0, "hot").when(n % 6 == 1, F.lit(None)).when(n % 6 == 2, "seen").otherwise(n.cast("string"))
+        df = spark.range(60_000).select("id", key.alias("k"))
+        seen = spark.createDataFrame([("seen",), ("4",)], "k string").unionByName(spark.range(5, 30_000, 12).select(n.cast("string").alias("k")))
+        assert "hot" in skew.hot_keys(df, "k")
+        got = curate.exclude_seen(df, seen, "k")
         assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
-        assert got.count() == sum(1 for i in range(50_000) if i % 3 and i % 2)
+        gone = {"seen", "4"} | {str(i) for i in range(5, 30_000, 12)}
+        wanted = {row["id"] for row in df.collect() if row["k"] not in gone}
+        rows_of = got.groupBy(F.spark_partition_id()).count().collect()
+        assert {row["id"] for row in got.collect()} == wanted
+        assert max(row["count"] for row in rows_of) < len(wanted) / 2
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name, _ in settings:
+            spark.conf.unset(name)
 
 
 def test_counts(spark):

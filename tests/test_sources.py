@@ -43,6 +43,8 @@ def test_sharded_records(spark, tmp_path):
 def test_no_shards(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_commit_records(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        read_commit_records(spark, str(tmp_path / "*.gz"))
 
 
 def test_labelled_splits(spark, tmp_path):
