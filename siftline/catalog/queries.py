@@ -38,8 +38,8 @@ def query(function):
 @query
 def curated_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: keep the first copy of every text, then the class distribution."""
-    deduped = curate.dedupe_first(I.labelled_documents(spark, sf_dir), md5_hex(F.col("text")), "doc_id")
-    return with_label_name(class_distribution(deduped))
+    hashed = I.labelled_documents(spark, sf_dir).select("doc_id", "label", md5_hex(F.col("text")).alias("text_md5"))
+    return with_label_name(class_distribution(curate.dedupe_first(hashed, "text_md5", "doc_id")))
 
 
 @query
@@ -49,10 +49,10 @@ def class_distribution_orders(spark, sf_dir):
 
 @query
 def dedupe_first(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents")
-    return curate.dedupe_first(documents, md5_hex(F.col("text")), "doc_id").select(
+    hashed = I.table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", md5_hex(F.col("text")).alias("text_md5")
     )
+    return curate.dedupe_first(hashed, "text_md5", "doc_id")
 
 
 @query

@@ -54,7 +54,9 @@ def dedupe_first(df: DataFrame, key: Column | str, order: list[str] | str) -> Da
     """One row per key: the first by ``order``, which must be unique within a key.
 
     ``min_by`` combines on the map side, so a key holding a third of all rows
-    leaves each task as a single row, and wide rows move once.
+    leaves each task as a single row, and rows move once. They move with all columns of
+    ``df``, so select what is needed before, with the text replaced by its hash where
+    the hash will do.
     """
     order = [order] if isinstance(order, str) else order
     key = F.col(key) if isinstance(key, str) else key

@@ -23,8 +23,9 @@ from siftline.session import bounded_local
 
 log = logging.getLogger(__name__)
 
-#: Below this, a sorted top-n is a single small reduce step.
-SMALL_TAKE = 10_000
+#: Up to this many rows a sorted top-n is cheap: every task sends that many wide rows to
+#: one reducer, which for thousands of rows and tasks would be a large part of the table.
+SMALL_TAKE = 100
 
 _HASH, _KEY, _CLASS = "_hash_order", "_key_order", "_class"
 _CUT_HASH, _CUT_KEY = "_cut_hash", "_cut_key"

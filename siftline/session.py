@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Most rows ever brought to the driver for a per-class or vocabulary table.
 MAX_LOCAL_ROWS = 100_000
 
+_own_folders: dict[str, str] = {}
+
 
 def build_session(app: str = "siftline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
@@ -35,12 +37,14 @@ def build_session(app: str = "siftline", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test run) is one made here.
+    Only where none is named (a local test run) is one made here, once per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="siftline-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="siftline-shared-")
+        named = _own_folders[application]
     return named.rstrip("/")
 
 

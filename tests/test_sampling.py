@@ -129,7 +129,7 @@ def test_take_split_is_the_seeded_order(spark, sizes):
     assert {r["id"] for r in val.collect()} == set(ids[sizes[0] : sum(sizes)])
 
 
-@pytest.mark.parametrize("n", [0, 3, 10_001, 30_000])
+@pytest.mark.parametrize("n", [0, 3, 101, 10_001, 30_000])
 def test_take_first(spark, n):
     ids = [i for _, i in sorted(place(i) for i in range(20_000))]
     assert {r["id"] for r in S.take_first(spark.range(20_000), n, "id").collect()} == set(ids[:n])

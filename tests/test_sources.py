@@ -92,3 +92,14 @@ def test_written_tables_live_in_the_shared_folder(spark):
     df = written(spark.range(3).withColumn("wide", F.lit("x")))
     assert df.inputFiles()[0].replace("file://", "").startswith(shared_folder(spark).replace("file://", ""))
     assert "ReadSchema: struct<id:bigint>" in df.select("id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_folder_only_where_none_is_named():
+    class Session:
+        def __init__(self, named):
+            self.conf = {"spark.checkpoint.dir": named} if named else {}
+            self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+
+    assert shared_folder(Session("hdfs://x/y/")) == "hdfs://x/y"
+    own = shared_folder(Session(None))
+    assert own.startswith("file:///") and own == shared_folder(Session(None))
