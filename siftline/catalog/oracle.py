@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from siftline.catalog.inputs import BLANKS, TEMPLATE_OPERATORS
 from siftline.functions.code import AST_FEATURES
-from siftline.functions.text import WHITESPACE, WHITESPACE_CLASS
-from siftline.functions.tokens import BUG_AWARE_STRING, BUG_AWARE_TOKEN
+from siftline.functions.text import WHITESPACE
 from siftline.operators.repair_text import REVIEW_PROMPT
 
 
@@ -16,6 +15,15 @@ def text(value: str) -> str:
 
 WS = text(WHITESPACE)
 EDGE = text(BLANKS)
+# Spelled out once more here, so that the check does not lean on the engine's own patterns.
+AWARE_STRING = text("(?s)\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\\n]*\"|'[^'\\n]*'")
+AWARE_TOKEN = text(
+    r"[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+(?:\.\p{Nd}+)?|\*\*|//|==|!=|<=|>=|\+=|-=|\*=|/=|%=|->|<<|>>"
+    r"|[-+*/%<>&|!^~=:;,.()\[\]{}@]"
+)
+BLANK_RUN = text(
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 LINE_END = text(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")
 
 
@@ -121,12 +129,12 @@ def legacy_tokens(value: str) -> str:
     numbered = f"""array_to_string(list_transform({runs}, lambda r:
  CASE WHEN regexp_full_match(r, '\\p{{Nd}}+') AND r NOT IN ('0', '1') THEN ' NUM ' ELSE r END), '')"""
     spaced = f"regexp_replace({numbered}, '([=+\\-*/%<>&!|:;{{}}()\\[\\]])', ' \\1 ', 'g')"
-    return f"list_filter(string_split_regex({spaced}, '[{WHITESPACE_CLASS}]+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex({spaced}, {BLANK_RUN}), lambda t: t <> '')"
 
 
 def aware_tokens(value: str) -> str:
-    masked = f"regexp_replace({value}, {text(BUG_AWARE_STRING)}, 'STR', 'g')"
-    return f"regexp_extract_all({masked}, {text(BUG_AWARE_TOKEN)})"
+    masked = f"regexp_replace({value}, {AWARE_STRING}, 'STR', 'g')"
+    return f"regexp_extract_all({masked}, {AWARE_TOKEN})"
 
 
 def digest(tokens) -> str:
@@ -232,6 +240,8 @@ def oracle_sql() -> dict[str, str]:
     sql["map_labels"] = f"WITH {MAPPED} SELECT doc_id, label, bug_type, source_task FROM mapped"
     sql["skipped_labels"] = f"""WITH {RAW} SELECT source_task, count(*) AS skipped FROM raw
  WHERE label_text IS NULL OR label_text = 'Unknown' GROUP BY source_task"""
+    sql["labelled_splits"] = f"""WITH {MAPPED} SELECT source_task, label, bug_type, md5(function) AS function_md5,
+ CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM mapped"""
     sql["label_counters"] = f"""WITH {RAW} SELECT count(*) AS total,
  count(*) FILTER (label_text IS NULL OR label_text = 'Unknown') AS skipped,
  count(*) FILTER (label_text = 'Correct') AS clean FROM raw"""

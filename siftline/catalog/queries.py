@@ -21,12 +21,23 @@ from siftline.plans import fix_pairs
 from siftline.plans.classifier import run_classifier_pipeline
 from siftline.plans.review import review_corpus
 from siftline.session import shared_folder
-from siftline.sources import parse_records, read_code_csv, read_lint_reports, write_code_csv
+from siftline.sources import (
+    parse_records,
+    read_code_csv,
+    read_labelled_functions,
+    read_lint_reports,
+    write_code_csv,
+)
 
 SEED = 42
 QUERIES: dict = {}
 
 
+def _own_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A place in the shared folder for what one query writes and reads back."""
+    return f"{shared_folder(spark)}/siftline/{name}-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}"
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
@@ -73,6 +84,21 @@ def skipped_labels(spark, sf_dir):
     return curate.skipped_labels(I.raw_labelled_documents(spark, sf_dir))
 
 
+@query
+def labelled_splits(spark, sf_dir):
+    """Write each task's splits as tables of their own, read them back (one is not there), map labels."""
+    split = F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test")
+    raw = I.raw_labelled_documents(spark, sf_dir).withColumn("split", split)
+    root = _own_path(spark, sf_dir, "splits")
+    raw.drop("doc_id").write.mode("overwrite").partitionBy("source_task", "split").parquet(root)
+    paths = {
+        task: {part: f"{root}/source_task={task}/split={part}" for part in ("train", "dev", "test")}
+        for task in curate.TASK_LABELS
+    }
+    mapped = curate.map_labels(read_labelled_functions(spark, paths))
+    return mapped.select("source_task", "label", "bug_type", md5_hex(F.col("function")).alias("function_md5"), "split")
+
+
 @query
 def label_counters(spark, sf_dir):
     raw = I.raw_labelled_documents(spark, sf_dir)
@@ -295,7 +321,7 @@ def lint_findings(spark, sf_dir):
 @query
 def csv_round_trip(spark, sf_dir):
     documents = I.table(spark, sf_dir, "documents").select("doc_id", I.blank_edged("text").alias("text"))
-    path = f"{shared_folder(spark)}/siftline/csv-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = _own_path(spark, sf_dir, "csv")
     write_code_csv(documents, path, mode="overwrite")
     return read_code_csv(spark, path, documents.schema).select("doc_id", md5_hex(F.col("text")).alias("text_md5"))
 
@@ -542,4 +568,6 @@ def classifier_run(spark, sf_dir):
 def review_files(spark, sf_dir):
     code = I.templated_code(spark, sf_dir).withColumn("label", F.when(F.col("label") == 3, 1).otherwise(0))
     model = learn.fit_forest(code, "code", "label", trees=10, depth=5, **SMALL_VOCAB)
-    return review_corpus(I.templated_files(spark, sf_dir), model)
+    path = _own_path(spark, sf_dir, "model")
+    learn.save_model(spark, model, path)
+    return review_corpus(I.templated_files(spark, sf_dir), learn.load_model(spark, path))

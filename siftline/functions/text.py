@@ -14,10 +14,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as the inside of a regex class.
-WHITESPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# The same set as the inside of a regex class: the separators of Unicode and the blank
+# control characters, each on its own, since single characters are looked up in a bitmap.
+WHITESPACE_CLASS = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\p{Z}"
 # Every line end ``str.splitlines`` knows, other than the plain newline.
 OTHER_LINE_END = r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 

@@ -225,11 +225,16 @@ def shuffle(df: DataFrame, key: str | list[str], seed: int = 42) -> DataFrame:
     return _with_order(df, key, seed).orderBy(_HASH, _KEY).select(*df.columns)
 
 
-def take_first(df: DataFrame, n: int, key: str | list[str], seed: int = 42) -> DataFrame:
-    """The first ``n`` rows in seeded order, as a set, with no sort for large ``n``."""
+def take_first(
+    df: DataFrame, n: int, key: str | list[str], seed: int = 42, total: int | None = None
+) -> DataFrame:
+    """The first ``n`` rows in seeded order, as a set, with no sort for large ``n``.
+
+    ``total`` saves counting ``df`` where its size is known.
+    """
     if n <= SMALL_TAKE:
         return shuffle(df, key, seed).limit(n)
-    (first,) = _global_cuts(df, [n], key, seed, df.count())
+    (first,) = _global_cuts(df, [n], key, seed, df.count() if total is None else total)
     return _with_order(df, key, seed).where(first).select(*df.columns)
 
 
@@ -273,4 +278,6 @@ def balanced_holdout(
     held = flagged.where("chosen").drop("chosen")
     if chosen >= total:
         return held
-    return held.unionByName(take_first(flagged.where("NOT chosen").drop("chosen"), total - chosen, key, seed))
+    rest = flagged.where("NOT chosen").drop("chosen")
+    left = df.count() - chosen
+    return held.unionByName(take_first(rest, total - chosen, key, seed, left))

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def test_whitespace_is_pythons():
     assert set(WHITESPACE) == {chr(code) for code in range(0x110000) if chr(code).isspace()}
 
 
+def test_whitespace_class_is_the_same_set():
+    separators = {chr(code) for code in range(0x110000) if unicodedata.category(chr(code)).startswith("Z")}
+    assert set(WHITESPACE) == separators | set("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85")
+
+
 def test_strip_and_lines_agree_with_python(spark):
     rows = [(number, value) for number, value in enumerate(texts())]
     df = spark.createDataFrame(rows, "id int, t string")
