@@ -54,10 +54,13 @@ def _bucket_digits(rows: int | None) -> int:
 
 def hash_cutoffs(
     df: DataFrame, quotas: DataFrame, label: str, key: str | list[str], seed: int, rows: int | None
-) -> DataFrame:
-    """(label, cut hash, cut key) of the last row within each class's quota.
+) -> tuple[DataFrame, list[str]]:
+    """The place of the last row within each class's quota, and the columns to join it on.
 
-    ``quotas`` is (label, quota); a class with quota 0 gets no row.
+    ``quotas`` is (label, quota); a class with quota 0 gets no row. With a bounded number
+    of classes the cut-offs are a local table, joined on the class. Past the bound they
+    are repeated for every bucket of the class and joined on both, so that the rows of
+    one large class are spread over its buckets and do not meet in one task.
     """
     narrow = _with_order(df, key, seed).select(label, _HASH, _KEY)
     bucket = F.substring(_HASH, 1, _bucket_digits(rows))
@@ -78,7 +81,16 @@ def hash_cutoffs(
         .where(F.col("_place") == F.col("_need"))
         .select(label, F.col(_HASH).alias(_CUT_HASH), F.col(_KEY).alias(_CUT_KEY))
     )
-    return bounded_local(cuts)[0]
+    cuts, local = bounded_local(cuts)
+    if local is not None:
+        return cuts, [label]
+    return counted.select(label, "_bucket").join(cuts, label), [label, "_bucket"]
+
+
+def _with_cuts(df: DataFrame, quotas: DataFrame, label: str, key, seed: int, rows: int | None, how: str):
+    cuts, on = hash_cutoffs(df, quotas, label, key, seed, rows)
+    placed = _with_order(df, key, seed).withColumn("_bucket", F.substring(_HASH, 1, _bucket_digits(rows)))
+    return placed.join(cuts, on, how)
 
 
 def _within_cut() -> Column:
@@ -96,16 +108,14 @@ def flag_quota(
     into: str = "chosen",
 ) -> DataFrame:
     """Add a boolean: whether the row is among the first ``quota`` of its class."""
-    cuts = hash_cutoffs(df, quotas, label, key, seed, rows)
-    placed = _with_order(df, key, seed).join(cuts, label, "left")
+    placed = _with_cuts(df, quotas, label, key, seed, rows, "left")
     flagged = placed.withColumn(into, F.coalesce(_within_cut(), F.lit(False)))
     return flagged.select(*df.columns, into)
 
 
 def take_quota(df, quotas, label, key, seed: int = 42, rows: int | None = None) -> DataFrame:
     """The first ``quota`` rows of each class."""
-    cuts = hash_cutoffs(df, quotas, label, key, seed, rows)
-    placed = _with_order(df, key, seed).join(cuts, label)
+    placed = _with_cuts(df, quotas, label, key, seed, rows, "inner")
     return placed.where(_within_cut()).select(*df.columns)
 
 
@@ -212,7 +222,8 @@ def _global_cuts(df: DataFrame, sizes: list[int], key, seed: int, total: int) ->
             pa.table({_CLASS: pa.array([0] * len(wanted), pa.int32()), "quota": pa.array(wanted, pa.int64())})
         )
         keyed = df.select(*keys).withColumn(_CLASS, F.lit(0))
-        cuts = hash_cutoffs(keyed, quotas, _CLASS, key, seed, total).orderBy(_CUT_HASH, _CUT_KEY).collect()
+        cuts, _ = hash_cutoffs(keyed, quotas, _CLASS, key, seed, total)
+        cuts = cuts.orderBy(_CUT_HASH, _CUT_KEY).collect()
         for size, cut in zip(wanted, cuts, strict=True):
             at_key = F.struct(*[F.lit(cut[_CUT_KEY][k]).cast(df.schema[k].dataType).alias(k) for k in keys])
             at = F.struct(F.lit(cut[_CUT_HASH]).alias(_HASH), at_key.alias(_KEY))

@@ -118,7 +118,10 @@ def test_many_classes_take_the_lazy_path(spark, monkeypatch):
     monkeypatch.setattr(session.bounded_local, "__defaults__", (2,))
     wanted = brute_sample([(r["id"], r["label"]) for r in skewed(spark).collect()], 500)
     got = S.stratified_sample(skewed(spark), "label", 500, "id")
+    assert "_bucket" in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r["id"] for r in got.collect()} == wanted
+    train, test = S.stratified_split(skewed(spark), "label", 0.2, "id")
+    assert (train.count(), test.count()) == (2400, 600)
 
 
 @pytest.mark.parametrize("sizes", [(10, 5), (11_000, 500), (11_000, 0), (0, 5), (50_000, 10), (19_999, 10)])
