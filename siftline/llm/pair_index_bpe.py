@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 #: Characters of text encoded together, and distinct words kept from one block to the next.
 BLOCK_CHARS, KEPT_WORDS = 8_000_000, 200_000
 
-#: The word pattern of this family of vocabularies, for ASCII text that is lower-cased already.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: The word pattern of this family of vocabularies, for lower-cased text of the Latin blocks.
+LATIN_PIECES = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼-¾]|[^\t-\r a-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼-¾]+"
+)
+#: Beyond this letter, or with the one whose lower case is two letters, the library's own normaliser and pattern are used.
+_LAST_LATIN, _DOTTED = "ſ", "İ"
 #: White space as the vocabulary's pattern has it; str.split() also cuts at the four separators below.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -30,6 +34,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _distinct(at: np.ndarray) -> np.ndarray:
+    at = np.sort(at)
+    return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+
+
 class PairIndexEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -44,14 +53,19 @@ class PairIndexEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.text_of = {i: s for s, i in (vocab | self.special).items()}
-        self.vocab, self.width = vocab, len(vocab)
+        self.number_of = {i: str(i) for i in self.text_of}
+        self.width = len(vocab)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.left, self.right = keys // self.width, keys % self.width
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        letters = byte_letters()
+        self.letters = {b: c for b, c in letters.items() if chr(b) != c}
+        self.inner, self.last = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        for c in letters.values():
+            self.inner[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + self.end]
         self.known: dict[str, tuple[str, str]] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -96,7 +110,7 @@ class PairIndexEncoder:
         while waiting:
             rank = heapq.heappop(waiting)
             found = index.pop(rank)
-            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = found[0] if len(found) == 1 else _distinct(np.concatenate(found))
             at = at[alive[at] & (symbols[at] == self.left[rank]) & (after[at] >= 0)]
             at = at[symbols[after[at]] == self.right[rank]]
             if not len(at):
@@ -111,37 +125,39 @@ class PairIndexEncoder:
             onward = after[gone]
             after[at] = onward
             before[onward[onward >= 0]] = at[onward >= 0]
-            add(np.unique(np.concatenate([before[at][before[at] >= 0], at[onward >= 0]])))
+            add(_distinct(np.concatenate([before[at][before[at] >= 0], at[onward >= 0]])))
         place = np.flatnonzero(alive)
         return symbols[place], place
 
     def _split(self, word: str) -> list[str]:
         """The pieces of one word without white space, each byte written as its letter."""
-        if word.isascii():
+        if max(word) <= _LAST_LATIN and _DOTTED not in word:
             low = word.lower()
-            found = ASCII_PIECES.findall(low)
-            return found if low.isprintable() else ["".join(map(self.letters.__getitem__, p)) for p in found]
+            found = LATIN_PIECES.findall(low)
+            if low.isascii() and low.isprintable():
+                return found
+            return [p.encode().decode("latin-1").translate(self.letters) for p in found]
         return [p for p, _ in self.pieces(self.normalize(word))]
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words that are not known yet."""
-        vocab, end = self.vocab, self.end
-        symbols: list[int] = []
-        starts: list[int] = []
-        first: list[int] = []  # symbol at which each word begins
+        pieces: list[str] = []
+        first: list[int] = []  # piece at which each word begins
         for word in words:
-            first.append(len(symbols))
-            for piece in self._split(word):
-                starts.append(len(symbols))
-                symbols += [vocab[c] for c in piece[:-1]]
-                symbols.append(vocab[piece[-1] + end])
-        if symbols:
-            ids, place = self.merge(np.array(symbols), np.array(starts))
+            first.append(len(pieces))
+            pieces += self._split(word)
+        starts = np.cumsum([0, *map(len, pieces)])
+        symbols = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32)
+        first = starts[np.array([*first, len(pieces)], dtype=np.int64)]
+        if len(symbols):
+            coded = self.inner[symbols]
+            coded[starts[1:] - 1] = self.last[symbols[starts[1:] - 1]]
+            ids, place = self.merge(coded, starts[:-1])
         else:
             ids, place = np.empty(0, np.int64), np.empty(0, np.int64)
-        bounds = np.searchsorted(place, np.array([*first, len(symbols)])).tolist()
-        numbers = [str(i) for i in ids.tolist()]
-        texts = [self.text_of[i] for i in ids.tolist()]
+        bounds = np.searchsorted(place, first).tolist()
+        numbers = list(map(self.number_of.__getitem__, ids.tolist()))
+        texts = list(map(self.text_of.__getitem__, ids.tolist()))
         for word, a, b in zip(words, bounds[:-1], bounds[1:], strict=True):
             self.known[word] = (" ".join(numbers[a:b]), " ".join(texts[a:b]))
 
@@ -151,7 +167,7 @@ class PairIndexEncoder:
             if part in self.special:
                 found.append(part)
             elif _SEPARATORS.search(part):
-                found += [w for w in _SPACE.split(part) if w]
+                found += filter(None, _SPACE.split(part))
             else:
                 found += part.split()
         return found
@@ -168,8 +184,8 @@ class PairIndexEncoder:
         known = self.known
         found = []
         for words in split:
-            both = [known[w] for w in words]
-            found.append((" ".join([b[0] for b in both if b[0]]), " ".join([b[1] for b in both if b[0]])))
+            numbers, letters = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
+            found.append((" ".join(numbers), " ".join(letters)))
         return found
 
 
