@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ QUERIES: dict = {}
 
 def _own_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A place in the shared folder for what one query writes and reads back."""
-    return f"{shared_folder(spark)}/siftline/{name}-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}"
+    return f"{shared_folder(spark)}/siftline/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 def query(function):

@@ -5,7 +5,7 @@ All are native expressions, so they stay inside whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Every character Python counts as whitespace.
@@ -52,19 +52,24 @@ def split_lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(closed, "\n", -1))
 
 
-def guarded_ratio(part: Column, whole: Column) -> Column:
-    """``part / whole`` where an empty whole counts as one."""
-    return part / F.greatest(whole, F.lit(1))
+#: Stands behind a text when it is parsed; it is only read back if the text was one whole value.
+_TEXT_END = "end-of-text-5b1d0c7e"
 
 
-def round4(value: Column) -> Column:
-    """Four decimal places, the precision scores are reported in."""
-    return F.round(value, 4)
+def last_name_wins(spark: SparkSession) -> None:
+    """Let an object with a repeated name keep the last value, as Python's reader does."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def parse_json(text: Column) -> Column:
-    """JSON text to VARIANT; text that is not JSON becomes NULL."""
-    return F.try_parse_json(text)
+    """JSON text to VARIANT; text that is not exactly one JSON value becomes NULL.
+
+    The parser stops after the first value and would take ``{..} junk`` or two joined objects.
+    So the text is read as the first element of a list whose second is known.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_TEXT_END}"]')))
+    whole = F.try_variant_get(both, "$[1]", "string") == _TEXT_END
+    return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
 
 
 def clean_utf8(text: Column) -> Column:

@@ -7,7 +7,7 @@ from that table of at most classes-squared rows.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import strip
@@ -33,10 +33,21 @@ def confusion_matrix(
     prediction: str = "prediction",
     classes: list[int] | None = None,
 ) -> DataFrame:
-    """One row per actual class, a ``predicted_<class>`` column each, zeros kept."""
+    """One row per actual class, a ``predicted_<class>`` column each, zeros kept.
+
+    Classes that occur but are not listed are added, so no row of ``df`` goes missing.
+    """
     classes = sorted(LABEL_NAMES) if classes is None else classes
-    cells = confusion_cells(df, label, prediction)
-    every = df.sparkSession.createDataFrame(pa.table({"actual": pa.array(classes, pa.int32())}))
+    cells, _ = bounded_local(confusion_cells(df, label, prediction))
+    return matrix_from_cells(cells, classes)
+
+
+def matrix_from_cells(cells: DataFrame, classes: list[int]) -> DataFrame:
+    """The zero-filled matrix of (actual, predicted, n) over ``classes`` and all that occur."""
+    present = cells.select(F.explode(F.array(F.col("actual").cast("int"), F.col("predicted").cast("int"))).alias("c"))
+    found = [row["c"] for row in present.where("c IS NOT NULL").distinct().collect()]
+    classes = sorted(set(classes) | set(found))
+    every = cells.sparkSession.createDataFrame(pa.table({"actual": pa.array(classes, pa.int32())}))
     counts = [
         F.sum(F.when(F.col("predicted") == code, F.col("n")).otherwise(0)).alias(f"predicted_{code}")
         for code in classes
@@ -120,6 +131,4 @@ def evaluate(
     cells, _ = bounded_local(confusion_cells(df, label, prediction))
     right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
     overall = cells.agg((right / F.sum("n")).alias("accuracy"))
-    everything = Window.partitionBy()
-    matrix = cells.withColumn("share", F.col("n") / F.sum("n").over(everything))
-    return overall, report_from_cells(cells), matrix
+    return overall, report_from_cells(cells), matrix_from_cells(cells, sorted(LABEL_NAMES))

@@ -27,6 +27,8 @@ log = logging.getLogger(__name__)
 #: one reducer, which for thousands of rows and tasks would be a large part of the table.
 SMALL_TAKE = 100
 
+REPEATED_KEY = "the row key is not unique: add a column, such as a row number, that tells its rows apart"
+
 _HASH, _KEY, _CLASS = "_hash_order", "_key_order", "_class"
 _CUT_HASH, _CUT_KEY = "_cut_hash", "_cut_key"
 
@@ -57,7 +59,7 @@ def hash_cutoffs(
 ) -> tuple[DataFrame, list[str]]:
     """The place of the last row within each class's quota, and the columns to join it on.
 
-    ``quotas`` is (label, quota); a class with quota 0 gets no row. With a bounded number
+    ``quotas`` is (label, quota); a class with quota 0 gets no row, one with fewer rows than its quota all of them. With a bounded number
     of classes the cut-offs are a local table, joined on the class. Past the bound they
     are repeated for every bucket of the class and joined on both, so that the rows of
     one large class are spread over its buckets and do not meet in one task.
@@ -65,20 +67,27 @@ def hash_cutoffs(
     narrow = _with_order(df, key, seed).select(label, _HASH, _KEY)
     bucket = F.substring(_HASH, 1, _bucket_digits(rows))
     counted = narrow.groupBy(label, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    up_to = F.sum("_n").over(Window.partitionBy(label).orderBy("_bucket"))
+    of_class = Window.partitionBy(label)
+    up_to = F.sum("_n").over(of_class.orderBy("_bucket"))
     edges = (
         counted.withColumn("_upto", up_to)
+        .withColumn("_all", F.sum("_n").over(of_class))
         .join(quotas, label)
+        .withColumn("quota", F.least("quota", "_all"))
         .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
         .select(label, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
     edges, _ = bounded_local(edges)
     place = F.row_number().over(Window.partitionBy(label, "_bucket", "_need").orderBy(_HASH, _KEY))
+    same = F.count(F.lit(1)).over(Window.partitionBy(label, "_bucket", "_need", _HASH, _KEY))
     cuts = (
         narrow.withColumn("_bucket", bucket)
         .join(edges, [label, "_bucket"])
         .withColumn("_place", place)
+        .withColumn("_same", same)
         .where(F.col("_place") == F.col("_need"))
+        # a cut inside a run of rows with one key could not be told from the data: refuse it
+        .withColumn(_HASH, F.when(F.col("_same") == 1, F.col(_HASH)).otherwise(F.raise_error(F.lit(REPEATED_KEY))))
         .select(label, F.col(_HASH).alias(_CUT_HASH), F.col(_KEY).alias(_CUT_KEY))
     )
     cuts, local = bounded_local(cuts)

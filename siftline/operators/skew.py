@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return [item["item"] for item in row["top"] or [] if item["count"] * partitions > row["n"]]
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns whose values can be hashed."""
+    plain = [f.name for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    return [f"`{name}`" for name in plain]
+
+
 def balanced_anti_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in the distinct ``keys``.
 
@@ -37,7 +45,8 @@ def balanced_anti_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         return df.join(keys, key, "left_anti")
     hot = hot_keys(df, key)
     is_hot = F.col(key).isin(hot)
-    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    # by content, so that a task that runs again deals every row as before
+    dealt = F.pmod(F.xxhash64(*hashable(df)), F.lit(SALTS)).cast("int")
     salt = F.when(is_hot | F.col(key).isNull(), dealt).otherwise(0)
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     left = df.withColumn("_salt", salt)

@@ -37,10 +37,16 @@ def build_session(app: str = "siftline", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where none is named (a local test run) is one made here, once per application.
+    A folder given with ``setCheckpointDir`` counts as well. Only where none is named and
+    the master is local (a test run) is one made here, once per application; on a
+    cluster that would be a folder of one machine, so it is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         application = spark.sparkContext.applicationId
         if application not in _own_folders:
             _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="siftline-shared-")

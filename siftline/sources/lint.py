@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import parse_json
+from siftline.functions.text import last_name_wins, parse_json
 
 
 def read_lint_reports(df: DataFrame, report: str = "report") -> DataFrame:
@@ -14,6 +14,7 @@ def read_lint_reports(df: DataFrame, report: str = "report") -> DataFrame:
     A report that is empty or not JSON keeps one row with NULLs, so no file goes
     missing.
     """
+    last_name_wins(df.sparkSession)
     parsed = df.withColumn("_report", parse_json(F.col(report)))
     rows = parsed.lateralJoin(
         df.sparkSession.tvf.variant_explode_outer(F.col("_report").outer()), how="left"

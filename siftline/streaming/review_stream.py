@@ -10,9 +10,11 @@ from siftline.operators.learn import CodeModel
 from siftline.plans.review import review_corpus
 
 
-def stream_source_files(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """(path, code) of every new file below ``path``."""
-    reader = spark.readStream.format("text").option("wholetext", True)
+def stream_source_files(
+    spark: SparkSession, path: str, files_per_trigger: int = 10_000, pattern: str = "*.py"
+) -> DataFrame:
+    """(path, code) of every new source file, searched for below ``path`` as in a batch read."""
+    reader = spark.readStream.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     files = reader.option("maxFilesPerTrigger", files_per_trigger).load(path)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
 

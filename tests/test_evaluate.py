@@ -46,3 +46,12 @@ def test_exact_match(spark):
     assert E.exact_match(df).first()[0] == 50.0
     assert E.exact_match(df, limit=1, order="id").first()[0] == 100.0
     assert E.exact_match(df.limit(0)).first()[0] == 0.0
+
+
+def test_classes_outside_the_list_are_kept(spark):
+    df = spark.createDataFrame([(0, 0), (7, 1), (1, 9)], "label int, prediction int")
+    for matrix in (E.confusion_matrix(df), E.evaluate(df)[2]):
+        rows = {r["actual"]: r.asDict() for r in matrix.collect()}
+        assert sorted(rows) == [0, 1, 2, 3, 7, 9]
+        assert rows[7]["predicted_1"] == rows[1]["predicted_9"] == rows[0]["predicted_0"] == 1
+        assert sum(v for r in rows.values() for k, v in r.items() if k != "actual") == 3

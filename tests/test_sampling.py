@@ -177,3 +177,15 @@ def test_local_tables_are_arrow(spark):
 
     df, local = bounded_local(spark.range(5))
     assert isinstance(local, pa.Table) and df.count() == 5
+
+
+def test_a_quota_above_the_class_size_takes_the_class(spark):
+    df = spark.range(10).selectExpr("id", "'a' AS label")
+    quotas = spark.createDataFrame([("a", 50)], "label string, quota long")
+    assert S.take_quota(df, quotas, "label", "id").count() == 10
+
+
+def test_a_repeated_key_is_refused(spark):
+    df = spark.range(20).selectExpr("1 AS id", "'a' AS label")
+    with pytest.raises(Exception, match="not unique"):
+        S.stratified_sample(df, "label", 10, "id").count()

@@ -8,6 +8,7 @@ from siftline import schemas
 from siftline.plans.fix_pairs import mine_fix_pairs
 from siftline.session import shared_folder, written
 from siftline.sources import (
+    parse_records,
     read_code_csv,
     read_commit_records,
     read_labelled_functions,
@@ -96,10 +97,33 @@ def test_written_tables_live_in_the_shared_folder(spark):
 
 def test_own_folder_only_where_none_is_named():
     class Session:
-        def __init__(self, named):
+        def __init__(self, named, given=None, master="local[8]"):
             self.conf = {"spark.checkpoint.dir": named} if named else {}
-            self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+            parts = {"applicationId": "app-1", "master": master, "getCheckpointDir": lambda: given}
+            self.sparkContext = type("Context", (), parts)
 
     assert shared_folder(Session("hdfs://x/y/")) == "hdfs://x/y"
     own = shared_folder(Session(None))
     assert own.startswith("file:///") and own == shared_folder(Session(None))
+    assert shared_folder(Session(None, "hdfs://given", "spark://host")) == "hdfs://given"
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(None, None, "spark://host"))
+
+
+def test_records_are_read_as_python_reads_them(spark):
+    """Trailing text and joined objects are no records; repeated names, NaN and very long lines are."""
+    long = "x" * 20_000_000
+    lines = [
+        ("junk", '{"diff":"x"} junk'),
+        ("joined", '{"diff":"x"}{"diff":"y"}'),
+        ("brace", '{"diff":"x"}}'),
+        ("list", '{"diff":"x"},{"diff":"y"}'),
+        ("name", '{"diff":"x","diff":"y"}'),
+        ("nan", '{"diff":"x","likely_bug":true,"s":NaN,"t":[-Infinity]}'),
+        ("long", '{"diff":"x","before":"' + long + '"}'),
+        ("plain", '{"diff":"x"}'),
+    ]
+    got = {r["id"]: r for r in parse_records(spark.createDataFrame(lines, "id string, value string")).collect()}
+    assert sorted(got) == ["long", "name", "nan", "plain"]
+    assert [got[k]["diff"] for k in sorted(got)] == ["x", "y", "x", "x"]
+    assert len(got["long"]["before"]) == len(long)
