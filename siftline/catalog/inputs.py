@@ -75,6 +75,23 @@ def templated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tagged_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated function per order whose text shows its class: (o_orderkey, code, label).
+
+    Clean code adds and so on; class 1 shifts or masks instead, class 2 uses one variable twice,
+    class 3 has its operands the other way round.
+    """
+    label = (F.col("o_orderkey") % 4).cast("int")
+    choose = lambda some: F.element_at(F.array(*map(F.lit, some)), (F.col("o_custkey") % len(some) + 1).cast("int"))
+    operator = F.when(label == 1, choose(TEMPLATE_OPERATORS[7:])).otherwise(choose(TEMPLATE_OPERATORS[:5]))
+    left, right = F.when(label == 3, "b").otherwise("a"), F.when(label.isin(2, 3), "a").otherwise("b")
+    code = F.concat(
+        F.lit("def f_"), F.col("o_orderkey").cast("string"), F.lit("(a, b):\n    return "),
+        left, F.lit(" "), operator, F.lit(" "), right, F.lit("\n"),
+    )
+    return spread_table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), label.alias("label"))
+
+
 def templated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per order: a class with a method, a function, an async function;
     every seventh file does not parse and every eleventh has no function."""

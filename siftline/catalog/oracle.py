@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftline.schemas import LABEL_NAMES
 from siftline.catalog.inputs import BLANKS, TEMPLATE_OPERATORS
 from siftline.functions.code import AST_FEATURES
 from siftline.functions.text import WHITESPACE
@@ -354,12 +355,17 @@ def oracle_sql() -> dict[str, str]:
     sql["tfidf_legacy"] = f"""WITH {CODE}, {legacy_terms}, {vocabulary('TRUE', 3, 15000)},
  {weights('code', 'o_orderkey', 'TRUE', 'tf')}"""
     words = document_terms("documents", "doc_id", aware_tokens("lower(text)"), 1)
-    sql["encode_fixed"] = f"""WITH {words}, {vocabulary('TRUE', 2, 2000)},
+    sql["encode_fixed"] = f"""WITH {words}, {vocabulary('TRUE', 2, 20000)},
  known AS (SELECT doc_id, list(idx + 1 ORDER BY pos) AS ids FROM placed JOIN vocab ON tok = term GROUP BY doc_id),
  coded AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN known k ON d.doc_id = k.doc_id)
  SELECT doc_id, array_to_string(list_resize(ids, 256, 0), ',') AS input_ids,
  array_to_string(list_resize(list_transform(ids, lambda x: 1), 256, 0), ',') AS attention_mask,
  array_to_string(list_resize(ids, 128, -100), ',') AS labels FROM coded"""
+    sql["forest_scores"] = """SELECT o_orderkey, CAST(o_orderkey % 4 = 3 AS INTEGER) AS label,
+ CAST(o_orderkey % 4 = 3 AS INTEGER) AS is_buggy FROM orders"""
+    names = " ".join(f"WHEN {code} THEN '{name}'" for code, name in LABEL_NAMES.items())
+    sql["boosted_scores"] = f"""WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS label FROM orders)
+ SELECT o_orderkey, label, label AS prediction, CASE label {names} END AS bug_type, label <> 0 AS pass_on FROM t"""
     sql["ast_features"] = f"SELECT o_orderkey, {ast_columns()} FROM orders"
     whole = "o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"
     sql["extract_functions"] = f"""SELECT o_orderkey, 0 AS ordinal, 'top_' || o_orderkey AS function_name,

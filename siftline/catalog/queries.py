@@ -22,6 +22,7 @@ from siftline.operators.counts import (
 from siftline.plans import fix_pairs
 from siftline.plans.classifier import run_classifier_pipeline
 from siftline.plans.review import review_corpus
+from siftline.schemas import CLEAN_TEXT, TASK_LABELS
 from siftline.session import shared_folder
 from siftline.sources import (
     parse_records,
@@ -445,7 +446,7 @@ def tfidf_legacy(spark, sf_dir):
 @query
 def encode_fixed(spark, sf_dir):
     documents = I.spread_table(spark, sf_dir, "documents").withColumn("tokens", tokenize_bug_aware(F.lower("text")))
-    words = features.Profile("words", tokenize_bug_aware, 1, 1, 2, 2000, True)
+    words = features.Profile("words", tokenize_bug_aware, 1, 1, 2, features.BUG_AWARE.max_features, True)
     model = features.fit_tfidf(documents, "text", words)
     coded = features.encode_fixed(documents.select("doc_id", "tokens"), "tokens", model.vocabulary)
     joined = [F.concat_ws(",", F.col(name).cast("array<string>")).alias(name) for name in ("input_ids", "attention_mask", "labels")]
@@ -530,46 +531,57 @@ def coalesce_feedback(spark, sf_dir):
     return repair_text.coalesce_feedback(turns, ["first", "second"]).select("conv_id", "turn", "feedback")
 
 
-# ---- learning: small trees, whole tables ------------------------------------
+# ---- learning ---------------------------------------------------------------
 
-SMALL_VOCAB = {"min_df": 2, "max_features": 300}
+#: Most labelled rows a query fits on, drawn by hash order; every row is scored.
+FIT_ROWS = 2000
+#: Boosting rounds of the queries. The function's default is 500, of one job or more for each tree level.
+ROUNDS = 10
+
+
+def _fit_rows(code: DataFrame) -> DataFrame:
+    return code.orderBy(F.xxhash64("o_orderkey"), "o_orderkey").limit(FIT_ROWS)
+
+
+def _swapped(spark, sf_dir):
+    return I.tagged_code(spark, sf_dir).withColumn("label", (F.col("label") == 3).cast("int"))
 
 
 @query
 def forest_scores(spark, sf_dir):
-    code = I.templated_code(spark, sf_dir).withColumn("label", F.when(F.col("label") == 3, 1).otherwise(0))
-    model = learn.fit_forest(code, "code", "label", trees=10, depth=5, **SMALL_VOCAB)
+    code = _swapped(spark, sf_dir)
+    model = learn.fit_forest(_fit_rows(code), "code", "label")
     return learn.score_binary(code, model, "code").select("o_orderkey", "label", "is_buggy")
 
 
 @query
 def boosted_scores(spark, sf_dir):
-    code = I.templated_code(spark, sf_dir)
-    model = learn.fit_boosted(code, "code", "label", rounds=3, depth=3, **SMALL_VOCAB)
-    return learn.score_multiclass(code, model, "code").drop("code")
+    code = I.tagged_code(spark, sf_dir)
+    model = learn.fit_boosted(_fit_rows(code), "code", "label", rounds=ROUNDS, rate=0.3)
+    scored = learn.score_multiclass(code, model, "code")
+    return scored.select("o_orderkey", "label", "prediction", "bug_type", "pass_on")
 
 
 @query
 def classifier_run(spark, sf_dir):
-    code = I.templated_code(spark, sf_dir)
-    texts = ["Correct", "Wrong binary operator", "Variable misuse", "Swapped operands"]
-    task = F.when(F.col("label") == 2, "variable_misuse_datasets").when(
-        F.col("label") == 3, "swapped_operands_datasets"
-    ).otherwise("wrong_binary_operator_datasets")
+    code = _fit_rows(I.tagged_code(spark, sf_dir))
+    texts = [CLEAN_TEXT, *(text for text, _ in sorted(TASK_LABELS.values(), key=lambda pair: pair[1]))]
+    tasks = {label: task for task, (_, label) in TASK_LABELS.items()}
+    task = F.lit(tasks[1])
+    for label, name in tasks.items():
+        task = F.when(F.col("label") == label, name).otherwise(task)
     raw = code.select(
         "o_orderkey",
         F.col("code").alias("function"),
         F.element_at(F.array(*[F.lit(text) for text in texts]), F.col("label") + 1).alias("label"),
         task.alias("source_task"),
     )
-    run = run_classifier_pipeline(raw, "o_orderkey", target=None, rounds=2, depth=3, **SMALL_VOCAB)
-    return run.report
+    return run_classifier_pipeline(raw, "o_orderkey", target=1000, rounds=ROUNDS, rate=0.3).report
 
 
 @query
 def review_files(spark, sf_dir):
-    code = I.templated_code(spark, sf_dir).withColumn("label", F.when(F.col("label") == 3, 1).otherwise(0))
-    model = learn.fit_forest(code, "code", "label", trees=10, depth=5, **SMALL_VOCAB)
+    model = learn.fit_forest(_fit_rows(_swapped(spark, sf_dir)), "code", "label")
     path = _own_path(spark, sf_dir, "model")
     learn.save_model(spark, model, path)
     return review_corpus(I.templated_files(spark, sf_dir), learn.load_model(spark, path))

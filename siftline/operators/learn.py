@@ -51,12 +51,15 @@ def fit_forest(
     code: str = "code_snippet",
     label: str = "label",
     trees: int = 150,
-    depth: int = 10,
+    depth: int = 30,
     seed: int = 42,
     profile: Profile = LEGACY,
     **vocab,
 ) -> CodeModel:
-    """Random forest over legacy TF-IDF terms, for two or more classes."""
+    """Random forest over legacy TF-IDF terms, for two or more classes.
+
+    Trees grow until leaves are pure; 30 levels are the most that the library grows.
+    """
     tfidf = fit_tfidf(df, code, profile, **vocab)
     prepared = code_features(df.select(code, label), code, tfidf, with_ast=False)
     learner = RandomForestClassifier(
@@ -85,7 +88,16 @@ def fit_boosted(
     weighted = balanced_weights(df.select(code, label), label)
     prepared = code_features(weighted, code, tfidf, with_ast=True)
     learner = OneVsRest(
-        classifier=GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed),
+        classifier=GBTClassifier(
+            maxIter=rounds,
+            stepSize=rate,
+            maxDepth=depth,
+            seed=seed,
+            # each node looks at a random root of the terms: node statistics pass the driver
+            featureSubsetStrategy="sqrt",
+            maxMemoryInMB=1024,
+            cacheNodeIds=True,
+        ),
         labelCol=label,
         weightCol="weight",
         parallelism=parallelism,
