@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline import schemas
+from siftline.operators.curate import map_labels
+from siftline.operators.sampling import stratified_sample, stratified_split
 from siftline.plans.fix_pairs import mine_fix_pairs
 from siftline.session import shared_folder, written
 from siftline.sources import (
@@ -57,6 +59,20 @@ def test_labelled_splits(spark, tmp_path):
         read_labelled_functions(spark, {"t": {"dev": str(tmp_path / "dev")}})
 
 
+def test_row_keys_tell_equal_rows_apart(spark, tmp_path):
+    frame = spark.createDataFrame([("f", "Correct")] * 30 + [("g", "Wrong binary operator")] * 10, schemas.RAW_LABELLED)
+    frame.write.parquet(str(tmp_path / "parquet"))
+    frame.write.json(str(tmp_path / "json"))
+    for fmt in ("parquet", "json"):
+        paths = {"wrong_binary_operator_datasets": {"train": str(tmp_path / fmt)}}
+        rows = map_labels(read_labelled_functions(spark, paths, fmt, row_key="row"))
+        assert rows.select("row").distinct().count() == 40
+        sample = stratified_sample(rows, "label", 20, "row")
+        assert sorted(map(tuple, sample.groupBy("label").count().collect())) == [(0, 15), (1, 5)]
+        train, test = stratified_split(rows, "label", 0.2, "row")
+        assert (train.count(), test.count()) == (32, 8)
+
+
 def test_csv_keeps_text(spark, tmp_path):
     texts = ['a "quoted", b', "line\nbreak\n", "  spaces  ", "cr\r\nlf", "back\\slash \\\" x", "NA", "null", '"', "é "]
     df = spark.createDataFrame([(t, t, "P") for t in texts], schemas.FIX_PAIR)
