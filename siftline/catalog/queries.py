@@ -557,7 +557,7 @@ def forest_scores(spark, sf_dir):
 @query
 def boosted_scores(spark, sf_dir):
     code = I.tagged_code(spark, sf_dir)
-    model = learn.fit_boosted(_fit_rows(code), "code", "label", rounds=ROUNDS, rate=0.3)
+    model = learn.fit_boosted(_fit_rows(code), "code", "label", rounds=ROUNDS, rate=0.3, subset="sqrt")
     scored = learn.score_multiclass(code, model, "code")
     return scored.select("o_orderkey", "label", "prediction", "bug_type", "pass_on")
 
@@ -576,7 +576,7 @@ def classifier_run(spark, sf_dir):
         F.element_at(F.array(*[F.lit(text) for text in texts]), F.col("label") + 1).alias("label"),
         task.alias("source_task"),
     )
-    return run_classifier_pipeline(raw, "o_orderkey", target=1000, rounds=ROUNDS, rate=0.3).report
+    return run_classifier_pipeline(raw, "o_orderkey", target=1000, rounds=ROUNDS, rate=0.3, subset="sqrt").report
 
 
 @query

@@ -77,12 +77,15 @@ def fit_boosted(
     depth: int = 7,
     seed: int = 42,
     parallelism: int = 4,
+    subset: str = "all",
     profile: Profile = BUG_AWARE,
     **vocab,
 ) -> CodeModel:
     """Boosted trees over TF-IDF terms and syntax features, one model per class.
 
-    Depth 7 bounds a tree at 128 leaves. Classes are weighted against their size.
+    Depth 7 bounds a tree at 128 leaves. Classes are weighted against their size. A
+    node's statistics over all terms pass the driver; with tens of thousands of terms
+    give ``subset="sqrt"``, by which each node looks at a random few.
     """
     tfidf = fit_tfidf(df, code, profile, **vocab)
     weighted = balanced_weights(df.select(code, label), label)
@@ -93,8 +96,7 @@ def fit_boosted(
             stepSize=rate,
             maxDepth=depth,
             seed=seed,
-            # each node looks at a random root of the terms: node statistics pass the driver
-            featureSubsetStrategy="sqrt",
+            featureSubsetStrategy=subset,
             maxMemoryInMB=1024,
             cacheNodeIds=True,
         ),

@@ -220,6 +220,14 @@ def quota_sample(
     return take_quota(df, fill_quotas(totals, label, total, named), label, key, seed, rows)
 
 
+def flag_quota_sample(
+    df: DataFrame, label: str, total: int, named: dict[str, int], key, seed: int = 42, into: str = "chosen"
+) -> DataFrame:
+    """Add a boolean that marks the rows of ``quota_sample``, so that the others need no anti join."""
+    totals, rows = _local_totals(df, label)
+    return flag_quota(df, fill_quotas(totals, label, total, named), label, key, seed, rows, into)
+
+
 def _global_cuts(df: DataFrame, sizes: list[int], key, seed: int, total: int) -> list[Column]:
     """For each size, the condition that a row is among that many first rows."""
     keys = [key] if isinstance(key, str) else key

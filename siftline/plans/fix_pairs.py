@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import md5_hex
-from siftline.operators.curate import assert_disjoint, dedupe_first, exclude_seen
+from siftline.operators.counts import value_counts
+from siftline.operators.curate import assert_disjoint, dedupe_first
 from siftline.operators.diffs import extract_diff
 from siftline.operators.filters import (
     LOOSE,
@@ -20,8 +24,11 @@ from siftline.operators.filters import (
     likely_bug,
     specific_pattern,
 )
-from siftline.operators.sampling import balanced_holdout, quota_sample, take_split
+from siftline.operators.sampling import balanced_holdout, flag_quota_sample, sample_rows, take_split
 from siftline.session import written
+from siftline.sources.code_files import write_once
+
+log = logging.getLogger(__name__)
 
 # Length caps by mode, and the numbers of the two data sets.
 LONGEST = {STRICT: 400, LOOSE: 600}
@@ -88,8 +95,12 @@ def strict_sets(
     a balanced validation set from the rows left, and a check that they share no pair."""
     named = NAMED_QUOTAS if named is None else named
     pairs = written(pairs, "fix-pairs")
-    train = written(quota_sample(pairs, "sstub_pattern", train_total, named, "pair_hash", seed), "fix-train")
-    pool = written(exclude_seen(pairs, train, "pair_hash"), "fix-pool")
+    if pairs.count() < train_total:
+        log.warning("fewer pairs than the %d asked for", train_total)
+    # one pair per hash: what is not in the training set is a filter, not an anti join
+    flagged = flag_quota_sample(pairs, "sstub_pattern", train_total, named, "pair_hash", seed, "in_train")
+    train = flagged.where("in_train").drop("in_train")
+    pool = flagged.where("NOT in_train").drop("in_train")
     val = written(balanced_holdout(pool, "sstub_pattern", *holdout, "pair_hash", seed), "fix-val")
     assert_disjoint(train, val, "pair_hash")
     return train, val
@@ -105,3 +116,27 @@ def loose_sets(
 def training_columns(pairs: DataFrame) -> DataFrame:
     """The columns that are written out."""
     return pairs.select("input_text", "target_text", "sstub_pattern")
+
+
+@dataclass(frozen=True)
+class PreparedSets:
+    train: DataFrame
+    val: DataFrame
+    train_distribution: DataFrame
+    val_distribution: DataFrame
+    examples: DataFrame
+
+
+def prepare_sets(train: DataFrame, val: DataFrame, folder: str, seed: int = 42) -> PreparedSets:
+    """Write both sets below ``folder`` unless they are there already, and report on what is there.
+
+    The tables hold the three training columns. A set that was prepared before is read as it
+    is. Distributions are rows per pattern; the examples are three rows of the training set.
+    """
+    spark = train.sparkSession
+    sets = []
+    for name, frame in (("train", train), ("val", val)):
+        write_once(training_columns(frame), f"{folder.rstrip('/')}/{name}")
+        sets.append(spark.read.parquet(f"{folder.rstrip('/')}/{name}"))
+    counts = [value_counts(frame, "sstub_pattern") for frame in sets]
+    return PreparedSets(*sets, *counts, sample_rows(sets[0], 3, ["input_text", "target_text"], seed))

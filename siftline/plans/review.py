@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators.features import split_functions
 from siftline.operators.filters import drop_blank
-from siftline.operators.learn import CodeModel, score_binary
+from siftline.operators.learn import CodeModel, score_binary, score_multiclass
 from siftline.operators.repair_text import repair_input
 
 
@@ -27,6 +27,17 @@ def review_corpus(
     )
 
 
+def review_multiclass(files: DataFrame, model: CodeModel, code: str = "code", intent: str | None = None) -> DataFrame:
+    """One row per function with its class, confidence, whether it goes on, and then its repair input.
+
+    Every class but the clean one goes on. There is no shuffle here either.
+    """
+    functions = split_functions(drop_blank(files, code), code)
+    scored = score_multiclass(functions, model, "function_code")
+    asked = repair_input(F.col("function_code"), F.col(intent) if intent else None)
+    return scored.withColumn("repair_input", F.when(F.col("pass_on"), asked))
+
+
 def review_summary(reviewed: DataFrame) -> DataFrame:
     """Readable verdict lines, as in ``name: BUGGY (Confidence: 87.50%)``."""
     line = F.format_string("%s: %s (Confidence: %.2f%%)", "function_name", "status", F.col("probability") * 100)

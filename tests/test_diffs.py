@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators.diffs import extract_diff
 from siftline.operators.filters import LOOSE, STRICT, filter_likely_bug, filter_pattern
+from siftline.plans import fix_pairs
 from siftline.plans.fix_pairs import filter_funnel, loose_sets, mine_fix_pairs, strict_sets, training_columns
 from siftline.sources import parse_records
 
@@ -96,3 +97,14 @@ def test_training_sets(spark):
     first, second = loose_sets(pairs, 100, 100)
     assert (first.count(), second.count()) == (100, 50)
     assert first.join(second, "pair_hash").count() == 0
+
+
+def test_prepared_sets_are_written_once(spark, tmp_path):
+    pairs = spark.range(30).selectExpr("concat('a', id) AS input_text", "'b' AS target_text", "concat('P', id % 2) AS sstub_pattern", "md5(string(id)) AS pair_hash")
+    train, val = fix_pairs.loose_sets(pairs, 20, 10)
+    first = fix_pairs.prepare_sets(train, val, str(tmp_path))
+    again = fix_pairs.prepare_sets(val, train, str(tmp_path))
+    assert (first.train.count(), first.val.count(), again.train.count()) == (20, 10, 20)
+    assert first.train.columns == ["input_text", "target_text", "sstub_pattern"]
+    assert sum(r["n"] for r in first.train_distribution.collect()) == 20
+    assert first.examples.count() == 3

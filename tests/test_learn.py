@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from siftline.operators import learn
 from siftline.operators.learn import load_model, save_model, score_binary, score_multiclass
-from siftline.plans.classifier import run_classifier_pipeline
-from siftline.plans.review import review_corpus, review_summary
+from siftline.plans.classifier import run_classifier_pipeline, run_forest_pipeline
+from siftline.plans.review import review_corpus, review_multiclass, review_summary
 from siftline.streaming import review_stream
 
 VOCAB = {"min_df": 1, "max_features": 50}
@@ -53,6 +53,8 @@ def test_review_and_stream(spark, forest, tmp_path):
     files.mkdir()
     (files / "a.py").write_text("def f1(a, b):\n    return a - b\n\ndef f2(a, b):\n    return a + b\n")
     (files / "b.py").write_text("  \n")
+    (files / "pkg").mkdir()
+    (files / "n.txt").write_text("def no(a, b):\n    return a - b\n")
     corpus = spark.createDataFrame([("a", (files / "a.py").read_text()), ("b", " \n")], "path string, code string")
     got = {row["function_name"]: row for row in review_summary(review_corpus(corpus, forest)).collect()}
     assert {name: row["status"] for name, row in got.items()} == {"f1": "BUGGY", "f2": "CLEAN"}
@@ -62,11 +64,25 @@ def test_review_and_stream(spark, forest, tmp_path):
     target = str(tmp_path / "out")
     for added, total in ((None, 2), ("def f3(a, b):\n    return a - b\n", 3)):
         if added:
-            (files / "c.py").write_text(added)
+            (files / "pkg" / "c.py").write_text(added)
         review_stream(spark, str(files), target, forest).awaitTermination()
         assert spark.read.parquet(target).count() == total
 
 
+def test_forest_run_and_multiclass_review(spark, code, tmp_path):
+    binary = code.withColumn("label", (F.col("label") == 1).cast("int"))
+    run = run_forest_pipeline(binary, "id", code="code", trees=5, store=str(tmp_path / "m"), **VOCAB)
+    assert (run.train.count(), run.test.count()) == (160, 40)
+    assert run.accuracy.first()[0] == 1.0 and run.confusion.count() == 4
+    assert load_model(spark, str(tmp_path / "m")).tfidf.documents == 160
+
+    model = learn.fit_boosted(code, "code", "label", rounds=3, depth=3, **VOCAB)
+    files = spark.createDataFrame([("def f1(a, b):\n    return a - b\n\ndef f2(a, b):\n    return a + b\n",), (" ",)], "code string")
+    got = {r["function_name"]: r for r in review_multiclass(files, model).collect()}
+    assert {k: (r["prediction"], r["pass_on"]) for k, r in got.items()} == {"f1": (1, True), "f2": (0, False)}
+    assert got["f1"]["repair_input"].startswith("fix: def f1") and got["f2"]["repair_input"] is None
+
+
 def test_classifier_run(code):
     texts = F.array(*[F.lit(t) for t in ("Correct", "Wrong binary operator", "Variable misuse", "Swapped operands")])
     task = (
