@@ -492,3 +492,17 @@ def test_pipeline_stages(spark):
         "toxicity", "quality classifier", "SimHash near-dedup", "mixing sources to target weights", "BPE encoding and decoding"
     ]
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+@pytest.mark.parametrize(("cosine", "recall"), [(0.93, 0.95), (0.97, 0.99)])
+def test_table_recall_at_a_given_cosine(cosine, recall):
+    """Pairs at exactly the given cosine meet in at least one table this often."""
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(5000, 64)))
+    across = rng.normal(size=a.shape)
+    across = unit(across - (across * a).sum(axis=1, keepdims=True) * a)
+    b = cosine * a + np.sqrt(1 - cosine**2) * across
+    mean, projection = itq_dedup.fit_rotation(a)
+    met = (itq_dedup.code_bytes(a, mean, projection) == itq_dedup.code_bytes(b, mean, projection)).any(axis=1)
+    assert met.mean() >= recall
