@@ -161,7 +161,15 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(start, 1, F.length(start) - 1), F.lit(', "sstub_pattern": '), pattern,
         F.lit(', "likely_bug": '), flag, F.lit("}"),
     )
-    bad = F.when(F.col("record_id") % 29 == 0, "not json").when(F.col("record_id") % 31 == 0, "  ")
+    every = lambda n: F.col("record_id") % n == 0
+    bad = F.when(every(29), "not json").when(every(31), "  ")
+    bad = bad.when(every(37), F.concat(line, F.lit(" junk"))).when(every(41), F.concat(line, line))
+    # these are records all the same: a value that strict JSON lacks, and a name twice, of which the last counts
+    line = (
+        F.when(every(43), F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(', "s": NaN}')))
+        .when(every(47), F.concat(F.lit('{"diff": "old", '), F.substring(line, F.lit(2), F.length(line))))
+        .otherwise(line)
+    )
     return built_diffs(spark, sf_dir).select("record_id", F.coalesce(bad, line).alias("value"))
 
 

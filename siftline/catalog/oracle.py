@@ -102,7 +102,7 @@ def records(loose: bool) -> str:
     flag = "kind IN (1, 2, 7, 9) OR kind >= 11" if loose else "kind >= 11"
     size = "length(input_with_context) <= 600" if loose else "length(buggy) <= 400"
     return f"""{sides(loose)}, records AS (SELECT *, record_id % 9 AS slot, record_id % 17 AS kind FROM sides
-  WHERE record_id % 29 <> 0 AND record_id % 31 <> 0),
+  WHERE record_id % 29 <> 0 AND record_id % 31 <> 0 AND record_id % 37 <> 0 AND record_id % 41 <> 0),
  judged AS (SELECT *, ({pattern}) AS a, ({flag}) AS b, (buggy <> '' AND fixed <> '') AS c, buggy <> fixed AS d,
   {size} AS e, CASE slot WHEN 1 THEN '  ' WHEN 3 THEN '5' ELSE 'CHANGE_' || slot END AS sstub_pattern FROM records)"""
 
