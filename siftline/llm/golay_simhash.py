@@ -135,7 +135,8 @@ def linked_fingerprints(prints: DataFrame, most_bits: int = 3) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
     # a pair meets once from each side, so every unordered pair is found with a < b
     stored, probing = _keyed(prints, False, "a"), _keyed(prints, True, "b")
-    keyed = stored.join(probing, (stored["key"] == probing["key"]) & near)
+    # keys outgrow the fingerprints they come from, whose size the planner goes by: never broadcast them
+    keyed = stored.join(probing.hint("merge"), (stored["key"] == probing["key"]) & near)
     return keyed.select("a", "b").distinct()
 
 
