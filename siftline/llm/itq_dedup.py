@@ -28,9 +28,10 @@ def fit_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = FIT_ROUNDS,
     """
     width = sample.shape[1]
     mean = sample.mean(axis=0)
-    axes = np.linalg.svd(sample - mean, full_matrices=True)[2] if len(sample) > 1 else np.eye(width)
+    # axes of the covariance, widest first: its size is that of a vector, not of the sample
+    axes = np.linalg.eigh((sample - mean).T @ (sample - mean))[1][:, ::-1]
     rng = np.random.default_rng(seed)
-    axes = axes[: min(bits, width)].T
+    axes = axes[:, :bits]
     if axes.shape[1] < bits:
         extra = rng.normal(size=(width, bits - axes.shape[1])) / np.sqrt(width)
         axes = np.concatenate([axes, extra], axis=1)
