@@ -564,7 +564,7 @@ def boosted_scores(spark, sf_dir):
 
 @query
 def classifier_run(spark, sf_dir):
-    code = _fit_rows(I.tagged_code(spark, sf_dir))
+    code = I.tagged_code(spark, sf_dir)
     texts = [CLEAN_TEXT, *(text for text, _ in sorted(TASK_LABELS.values(), key=lambda pair: pair[1]))]
     tasks = {label: task for task, (_, label) in TASK_LABELS.items()}
     task = F.lit(tasks[1])
@@ -576,7 +576,8 @@ def classifier_run(spark, sf_dir):
         F.element_at(F.array(*[F.lit(text) for text in texts]), F.col("label") + 1).alias("label"),
         task.alias("source_task"),
     )
-    return run_classifier_pipeline(raw, "o_orderkey", target=1000, rounds=ROUNDS, rate=0.3, subset="sqrt").report
+    run = run_classifier_pipeline(raw, "o_orderkey", target=None, rounds=ROUNDS, rate=0.3, subset="sqrt", fit_rows=FIT_ROWS)
+    return run.report
 
 
 @query

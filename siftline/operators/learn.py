@@ -24,6 +24,7 @@ from siftline.operators.features import (
     with_ast_features,
 )
 from siftline.operators.filters import flag_binary, flag_multiclass
+from siftline.operators.sampling import stratified_sample
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,15 @@ def code_features(df: DataFrame, code: str, tfidf: TfidfModel, with_ast: bool) -
     return assemble_features(with_ast_features(weighted, code)).drop("tfidf", "ast")
 
 
+def labelled_rows(df: DataFrame, label: str, fit_rows: int | None, key: list[str] | str | None, seed: int) -> DataFrame:
+    """About ``fit_rows`` rows with the class shares of ``df``, drawn by ``key``, which tells rows apart; all without a bound."""
+    if fit_rows is None:
+        return df
+    if key is None:
+        raise ValueError("a bound on the rows of the fit needs the key that tells rows apart")
+    return stratified_sample(df, label, fit_rows, key, seed)
+
+
 def fit_forest(
     df: DataFrame,
     code: str = "code_snippet",
@@ -54,14 +64,19 @@ def fit_forest(
     depth: int = 30,
     seed: int = 42,
     profile: Profile = LEGACY,
+    fit_rows: int | None = None,
+    key: list[str] | str | None = None,
     **vocab,
 ) -> CodeModel:
     """Random forest over legacy TF-IDF terms, for two or more classes.
 
     Trees grow until leaves are pure; 30 levels are the most that the library grows.
+    With ``fit_rows``, about so many rows grow the trees; see ``labelled_rows``. Terms and their
+    weights come from all rows either way.
     """
     tfidf = fit_tfidf(df, code, profile, **vocab)
-    prepared = code_features(df.select(code, label), code, tfidf, with_ast=False)
+    some = labelled_rows(df, label, fit_rows, key, seed)
+    prepared = code_features(some.select(code, label), code, tfidf, with_ast=False)
     learner = RandomForestClassifier(
         labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
     )
@@ -79,16 +94,20 @@ def fit_boosted(
     parallelism: int = 4,
     subset: str = "all",
     profile: Profile = BUG_AWARE,
+    fit_rows: int | None = None,
+    key: list[str] | str | None = None,
     **vocab,
 ) -> CodeModel:
     """Boosted trees over TF-IDF terms and syntax features, one model per class.
 
     Depth 7 bounds a tree at 128 leaves. Classes are weighted against their size. A
     node's statistics over all terms pass the driver; with tens of thousands of terms
-    give ``subset="sqrt"``, by which each node looks at a random few.
+    give ``subset="sqrt"``, by which each node looks at a random few. ``fit_rows`` bounds
+    the rows of the trees only, as in ``fit_forest``.
     """
     tfidf = fit_tfidf(df, code, profile, **vocab)
-    weighted = balanced_weights(df.select(code, label), label)
+    some = labelled_rows(df, label, fit_rows, key, seed)
+    weighted = balanced_weights(some.select(code, label), label)
     prepared = code_features(weighted, code, tfidf, with_ast=True)
     learner = OneVsRest(
         classifier=GBTClassifier(

@@ -45,11 +45,14 @@ def run_classifier_pipeline(
     store: str | None = None,
     **training,
 ) -> ClassifierRun:
-    """Curate, split, train on the train part, and evaluate on the rest; ``store`` keeps the model there."""
+    """Curate, split, train on the train part, and evaluate on the rest; ``store`` keeps the model there.
+
+    ``fit_rows`` among ``training`` bounds the train rows that grow the trees; the whole rest is scored and reported.
+    """
     sample = written(curate_functions(raw, order, target, seed), "sample")
     # Both parts are filters on the scan of the sample, so they are not written again.
     train, test = stratified_split(sample, "label", test_fraction, order, seed)
-    model = fit_boosted(train, "function", "label", seed=seed, **training)
+    model = fit_boosted(train, "function", "label", seed=seed, key=order, **training)
     if store:
         save_model(raw.sparkSession, model, store)
     scored = written(score_multiclass(test.drop("bug_type"), model, "function"), "scored")

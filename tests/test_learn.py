@@ -95,3 +95,21 @@ def test_classifier_run(code):
     assert run.train.count() + run.test.count() == pytest.approx(100, abs=2)
     assert run.train.join(run.test, "id").count() == 0
     assert run.accuracy.first()[0] > 0.9 and run.report.count() == 7
+
+
+def test_bounded_fit_keeps_all_terms(code):
+    model = learn.fit_forest(code, "code", "label", trees=2, fit_rows=20, key="id", **VOCAB)
+    assert model.tfidf.documents == 200 and learn.labelled_rows(code, "label", 20, "id", 42).count() == 20
+    with pytest.raises(ValueError, match="key"):
+        learn.fit_forest(code, "code", "label", fit_rows=20)
+
+
+def test_classifier_query_reports_the_whole_test_part(spark, monkeypatch):
+    from siftline.catalog import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "FIT_ROWS", 100)
+    monkeypatch.setattr(queries, "ROUNDS", 1)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # no two functions are equal
+    report = {r["row"]: r["support"] for r in queries.classifier_run(spark, sf_dir).collect()}
+    assert report["accuracy"] == -(-orders // 5)
