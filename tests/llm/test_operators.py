@@ -506,3 +506,35 @@ def test_table_recall_at_a_given_cosine(cosine, recall):
     mean, projection = itq_dedup.fit_rotation(a)
     met = (itq_dedup.code_bytes(a, mean, projection) == itq_dedup.code_bytes(b, mean, projection)).any(axis=1)
     assert met.mean() >= recall
+
+
+def shingle_set(text, size=5):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return frozenset(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def jaccard_groups(texts, least=0.8):
+    sets = [shingle_set(t) for t in texts]
+    near = lambda a, b: len(a & b) >= least * len(a | b)
+    return components_of([(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])], range(len(sets)))
+
+
+def test_near_copies_against_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(900)}" for _ in range(150)]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):  # pairs on both sides of 0.8, and chains of pairs
+                words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+    rows += [(1000, "One two"), (1001, "one  TWO"), (1002, "one two three")]
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows += [(2000 + r["doc_id"], r["text"]) for r in real]
+    group = jaccard_groups([t for _, t in rows])
+    want = {min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in set(group.values())}
+    frame = docs(spark, rows).selectExpr("doc_id", "text", "'x' AS lang", "source", "length(text) AS n_chars")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()} == want
