@@ -538,3 +538,17 @@ def test_near_copies_against_brute_force_jaccard(spark):
     want = {min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in set(group.values())}
     frame = docs(spark, rows).selectExpr("doc_id", "text", "'x' AS lang", "source", "length(text) AS n_chars")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()} == want
+
+
+def test_near_copies_leave_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    rows = [(7, a), (7, a), (7, a), (9, a + " end"), (None, a), (None, a.upper()), (None, b), (None, b), (None, b + " end"), (3, c), (4, c), (3, "other text")]
+    frame = docs(spark, rows).selectExpr("doc_id", "text", "'x' AS lang", "source", "length(text) AS n_chars")
+    for some in (frame, frame.repartition(3)):
+        got = corpus_pipeline.drop_near_copies(spark, some, SF).collect()
+        assert sorted((str(r["doc_id"]), r["text"][:5]) for r in got if r["doc_id"] is not None) == sorted([("7", a[:5]), ("3", c[:5]), ("3", "other")])
+        assert [r["text"] in (b, b + " end") for r in got if r["doc_id"] is None] == [True]
+    assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), SF).count() == 0
