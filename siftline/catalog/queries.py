@@ -533,16 +533,12 @@ def coalesce_feedback(spark, sf_dir):
 
 # ---- learning ---------------------------------------------------------------
 
-#: Most labelled rows a query fits on, drawn by hash order; every row is scored.
+#: About how many labelled rows grow a query's trees, drawn by hash order; terms come from all rows, and every row is scored.
 FIT_ROWS = 2000
 #: Boosting rounds of the queries. The function's default is 500, of one job or more for each tree level.
 ROUNDS = 10
 
 
-def _fit_rows(code: DataFrame) -> DataFrame:
-    return code.orderBy(F.xxhash64("o_orderkey"), "o_orderkey").limit(FIT_ROWS)
-
-
 def _swapped(spark, sf_dir):
     return I.tagged_code(spark, sf_dir).withColumn("label", (F.col("label") == 3).cast("int"))
 
@@ -550,14 +546,15 @@ def _swapped(spark, sf_dir):
 @query
 def forest_scores(spark, sf_dir):
     code = _swapped(spark, sf_dir)
-    model = learn.fit_forest(_fit_rows(code), "code", "label")
+    model = learn.fit_forest(code, "code", "label", fit_rows=FIT_ROWS, key="o_orderkey")
     return learn.score_binary(code, model, "code").select("o_orderkey", "label", "is_buggy")
 
 
 @query
 def boosted_scores(spark, sf_dir):
     code = I.tagged_code(spark, sf_dir)
-    model = learn.fit_boosted(_fit_rows(code), "code", "label", rounds=ROUNDS, rate=0.3, subset="sqrt")
+    bounded = {"fit_rows": FIT_ROWS, "key": "o_orderkey"}
+    model = learn.fit_boosted(code, "code", "label", rounds=ROUNDS, rate=0.3, subset="sqrt", **bounded)
     scored = learn.score_multiclass(code, model, "code")
     return scored.select("o_orderkey", "label", "prediction", "bug_type", "pass_on")
 
@@ -582,7 +579,7 @@ def classifier_run(spark, sf_dir):
 
 @query
 def review_files(spark, sf_dir):
-    model = learn.fit_forest(_fit_rows(_swapped(spark, sf_dir)), "code", "label")
+    model = learn.fit_forest(_swapped(spark, sf_dir), "code", "label", fit_rows=FIT_ROWS, key="o_orderkey")
     path = _own_path(spark, sf_dir, "model")
     learn.save_model(spark, model, path)
     return review_corpus(I.templated_files(spark, sf_dir), learn.load_model(spark, path))

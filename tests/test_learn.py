@@ -113,3 +113,21 @@ def test_classifier_query_reports_the_whole_test_part(spark, monkeypatch):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # no two functions are equal
     report = {r["row"]: r["support"] for r in queries.classifier_run(spark, sf_dir).collect()}
     assert report["accuracy"] == -(-orders // 5)
+
+
+@pytest.mark.parametrize("name", ["forest_scores", "boosted_scores", "review_files"])
+def test_queries_take_terms_from_all_rows(spark, monkeypatch, name):
+    from siftline.catalog import queries
+
+    class Seen(Exception):
+        pass
+
+    def spy(df, *args, **vocab):
+        raise Seen(df.count())
+
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "FIT_ROWS", 100)
+    monkeypatch.setattr(learn, "fit_tfidf", spy)
+    with pytest.raises(Seen) as seen:
+        queries.QUERIES[name](spark, sf_dir)
+    assert seen.value.args[0] == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
