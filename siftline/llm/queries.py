@@ -6,9 +6,10 @@ import importlib.util
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import golay_simhash, itq_dedup, line_crf, minimax_shards, pair_index_bpe, resync_tokens
-from siftline.llm import systematic_mix, toxicity, url_aliases
+from siftline.llm import golay_simhash, hilbert_centroids, id_files, itq_dedup, line_crf, minimax_shards, pair_index_bpe
+from siftline.llm import resync_tokens, scatter_fim, systematic_mix, toxicity, url_aliases
 from siftline.llm.common import read_table
 from siftline.llm.cover_tree import top_k
 
@@ -64,6 +65,21 @@ def op10_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_index_bpe.encoded(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = id_files.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
+    return id_files.read_ids(spark, folder, as_bytes=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_scatter_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = scatter_fim.restore(scatter_fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_hilbert_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_centroids.with_inertia(*hilbert_centroids.clusters(read_table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` at the top of the repository."""
     place = Path(__file__).resolve().parents[2] / "corpus_pipeline.py"
@@ -86,10 +102,41 @@ QUERIES = {
         op8_systematic_mix,
         op9_minimax_shards,
         op10_pair_index_bpe,
+        op11_id_files,
+        op12_scatter_fim,
+        op13_hilbert_centroids,
         pipeline,
     )
 }
 
+def _centroid_sql(rounds: int = 10) -> str:
+    """The rounds of op13 as a chain of tables: assignment a<i> to centroids c<i>, which give c<i + 1>."""
+    apart = "list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.c) + list_inner_product(c.c, c.c)"
+    assigned = lambda i: (
+        f"a{i} AS MATERIALIZED (SELECT n, any_value(vec_id) AS vec_id, any_value(v.v) AS v, arg_min(k, CAST({apart} AS BIGINT) * 8 + k) AS k, "
+        f"CAST(min({apart}) AS BIGINT) AS d FROM v, c{i} c GROUP BY n)"
+    )
+    moved = lambda i: (
+        f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM ("
+        f"SELECT k, i, floor(sum(v[i]) / count(*)) AS x FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i) GROUP BY k) m USING (k))"
+    )
+    steps = [step for i in range(rounds) for step in (assigned(i), moved(i))] + [assigned(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY h, vec_id NULLS FIRST, v) - 1 AS INTEGER) AS k, v AS c
+    FROM (SELECT *, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h FROM v) QUALIFY k < 8
+),
+{(","+chr(10)).join(steps)}
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c.c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)
+"""
+
+
 ORACLE_SQL = {
     "op2_cover_tree_topk": """
 WITH v AS (
@@ -179,4 +226,28 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
     CAST(CASE WHEN size > 0 THEN least(floor(pos * each_doc + off) - floor((pos - 1) * each_doc + off), 3) ELSE 0 END * size AS BIGINT) AS taken
 FROM o
 """,
+    "op12_scatter_fim": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+    FROM documents
+),
+n AS (
+    SELECT doc_id, t, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+            WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM d
+),
+p AS (
+    SELECT doc_id, t, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+        array_to_string(u[greatest(a, b) + 1:], '') AS s
+    FROM n
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_hilbert_centroids": _centroid_sql(),
 }
