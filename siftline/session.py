@@ -54,17 +54,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
+def written(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet into the shared folder.
 
     Unlike a row checkpoint, the table read back keeps column pruning and filter
     pushdown, so later narrow passes do not touch the wide columns, and its file
     size lets Catalyst decide on a broadcast by a known size. Losing an executor
-    later never repeats the work above this point.
+    later never repeats the work above this point. ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siftline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
