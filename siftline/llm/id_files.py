@@ -13,7 +13,9 @@ Next to the files lie ``dictionary-<sha256>.zdict`` and ``manifest``, a Parquet
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,15 +38,40 @@ FIT_PIECES, PIECE_BYTES, DICTIONARY_BYTES = 2_000, 2_048, 64 * 1024
 LEVEL = 3
 #: Bytes of ids aimed at for one file, and bytes of frames read at once.
 FILE_BYTES, READ_BYTES = 64 << 20, 4 << 20
-#: Distinct words kept with their ids in a task, and bytes of text encoded together.
-KEPT_WORDS, BLOCK_BYTES = 400_000, 4 << 20
+#: Distinct pieces kept with their ids in a task, pieces given to the library together, and bytes of text encoded together.
+KEPT_PIECES, RUN, BLOCK_BYTES = 400_000, 256, 4 << 20
+
+#: Normaliser and pattern of this family of vocabularies, as its files state them. The pattern's pieces
+#: for plain Latin texts: no special token, no letter whose lower case is two, no white space beyond ASCII.
+LATIN_SPEC = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+PLAIN_LATIN = re.compile("[\t-\r -~¡-įı-ſ]*")
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\t-\r a-z0-9ªµºß-öø-ſ²³¹¼-¾]+")
 
 
 class WordIds:
-    """The library's ids of whole texts, each distinct word encoded once in a task.
+    """The library's ids of whole texts, each distinct piece of text encoded once in a task.
 
     The vocabulary drops white space and no merge, normalisation or special token crosses an ASCII
-    blank, so a text's ids are those of its words between such blanks, one after another.
+    blank, so a text's ids are those of its words between such blanks, one after another. If the file
+    normalises and cuts texts as LATIN_SPEC says, texts of plain Latin letters, digits and signs are cut into
+    its pieces here, and the library encodes each distinct piece; the words of other texts, or for other files, go to it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,17 +82,44 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = np.dtype(id_type(self.library.get_vocab_size()))
-        self.known: dict[bytes, bytes] = {}
+        spec = json.loads(self.library.to_str())
+        self.latin = {k: spec[k] for k in LATIN_SPEC} == LATIN_SPEC
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
+        self.latin &= bool(suffix)
+        self.known: dict[str, bytes] = {}
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.latin and "<|" not in text and PLAIN_LATIN.fullmatch(text):
+            return LATIN_PIECES.findall(text.lower())
+        return [w.decode() for w in text.encode().split()]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces not known yet: plain ones, each a word to the library, in runs cut at the ends of words."""
+        plain = [p for p in pieces if self.latin and p == p.lower() and LATIN_PIECES.fullmatch(p) and "<|" not in p and PLAIN_LATIN.fullmatch(p)]
+        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        for run, found in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            whole = ids.tobytes()
+            if len(cuts) != len(run):
+                raise ValueError("the vocabulary ends words elsewhere")
+            for piece, low, high in zip(run, [0, *cuts], cuts, strict=False):
+                self.known[piece] = whole[low:high]
+        others = list(set(pieces).difference(plain))
+        for piece, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(found.ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_PIECES:
             self.known = {}
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        for word, found in zip(fresh, self.library.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split = [self._pieces(t) if t else [] for t in texts]
+        fresh = set().union(*split).difference(self.known)
+        if fresh:
+            self._learn(list(fresh))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
 
 def id_type(vocabulary: int) -> str:
@@ -216,7 +270,7 @@ def write_ids(docs: DataFrame, path: str, end: int = 1, folder: str | None = Non
 
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/siftline/ids-{uuid.uuid4().hex}"
-    arrays = written(id_arrays(docs, path, end).withColumn("row", F.monotonically_increasing_id()), "id-arrays")
+    arrays = written(id_arrays(docs, path, end).withColumn("row", F.monotonically_increasing_id()), "id-arrays", compression="zstd")
     content = train_dictionary(arrays)
     digest = hashlib.sha256(content).digest()
     store, place = fs.FileSystem.from_uri(folder)

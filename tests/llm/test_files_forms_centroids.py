@@ -51,9 +51,24 @@ def test_words_give_the_ids_of_whole_texts(library):
     encoder = id_files.WordIds(tokenizer_path("word_bpe_49k.json"))
     got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder(texts)]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
-    id_files.KEPT_WORDS, kept = 3, id_files.KEPT_WORDS
+    id_files.KEPT_PIECES, kept = 3, id_files.KEPT_PIECES
     assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder(texts[:50])] == got[:50]
-    id_files.KEPT_WORDS = kept
+    id_files.KEPT_PIECES = kept
+
+
+def test_pieces_of_latin_texts_are_those_of_the_library(library):
+    rng = random.Random(8)
+    letters = [chr(i) for i in range(1, 0x250)]
+    bits = ["l", "LL", "'", "'s", "s", "ll", "<|", "endoftext", "|>", "é", "1", "²", "-", "×", "÷", "ŉ", " ", "\n", "i̇"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(9))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(20_000)]
+    encoder = id_files.WordIds(tokenizer_path("word_bpe_49k.json"))
+    assert encoder.latin
+    got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder(texts)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
+    other = id_files.WordIds(tokenizer_path("byte_bpe_50k.json"))
+    assert not other.latin  # another file's normaliser and pattern: no piece is cut here
 
 
 def test_odd_rows_are_kept_in_order(spark, library):
