@@ -140,14 +140,14 @@ FROM a{rounds} JOIN c{rounds} c USING (k)
 ORACLE_SQL = {
     "op2_cover_tree_topk": """
 WITH v AS (
-    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 s AS (
-    SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
-    FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+    SELECT q.n, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.n <> d.n
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """,
     "op3_itq_near_dedup": """

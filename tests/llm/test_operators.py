@@ -179,36 +179,84 @@ def vectors(spark, rows):
     return spark.createDataFrame(table)
 
 
-def test_cover_tree_invariants():
-    points = np.random.default_rng(0).integers(-500, 500, (300, 6)).astype(float)
-    tree = cover_tree.CoverTree(points)
-    assert sorted(tree.order.tolist()) == list(range(300))
-    for node, (a, b) in enumerate(tree.span):
-        apart = np.linalg.norm(points[tree.order[a:b]] - points[tree.centre[node]], axis=1)
-        assert apart.max() <= tree.radius[node] + 1e-9
-        if tree.children[node]:
-            assert sorted(x for c in tree.children[node] for x in range(*tree.span[c])) == list(range(a, b))
-
-
-@pytest.mark.parametrize("ties", [False, True])
-def test_dual_search(ties):
+def tree_points(kind, n=3000, width=6):
     rng = np.random.default_rng(4)
-    data = rng.integers(-2 if ties else -900, 3 if ties else 900, (700, 5)).astype(float)
-    ids = rng.permutation(700).astype(np.int64)
-    queries, names = data[::7], ids[::7]
-    row, at, score = cover_tree.dual_search(queries, names, data, ids)
-    for i in range(len(queries)):
-        mine = (row == i).nonzero()[0]
-        got = sorted((-score[j], ids[at[j]]) for j in mine)
-        exact = sorted((-s, n) for s, n in zip(data @ queries[i], ids) if n != names[i])[:10]
+    if kind == "ties":
+        return rng.integers(-2, 3, (n, width)).astype(float)
+    if kind == "near":
+        centres = rng.integers(-900, 900, (12, width))
+        return (centres[rng.integers(0, 12, n)] + rng.integers(-20, 20, (n, width))).astype(float)
+    return rng.integers(-900, 900, (n, width)).astype(float)
+
+
+@pytest.mark.parametrize("kind", ["ties", "near", "even"])
+def test_cover_tree_invariants(kind):
+    points = tree_points(kind)
+    order, nodes = cover_tree.build_tree(points, 24)
+    assert sorted(order.tolist()) == list(range(len(points)))
+    points = points[order]
+    for node in nodes:
+        low, high, first, count = (int(node[f]) for f in ("low", "high", "first", "children"))
+        apart = np.linalg.norm(points[low:high] - points[node["centre"]], axis=1)
+        assert apart.max() <= node["radius"] + 1e-9
+        assert count <= cover_tree.FAN_OUT + 1 and (not count or (high - low) / count >= cover_tree.FEW - 1)
+        if count:
+            children = nodes[first : first + count]
+            assert children["low"][0] == low and children["high"][-1] == high and (children["low"][1:] == children["high"][:-1]).all()
+            assert children["radius"].max() <= node["radius"] / cover_tree.BASE + 1e-9
+            centres = points[children["centre"]]
+            between = np.linalg.norm(centres[:, None] - centres, axis=2) + np.eye(count) * 1e9
+            assert between.min() > node["radius"] / cover_tree.BASE - 1e-9
+
+
+@pytest.mark.parametrize(("kind", "share"), [("ties", 1.0), ("near", 0.35), ("even", 1.0)])
+def test_dual_search(kind, share):
+    data = tree_points(kind)
+    ids = np.random.default_rng(1).permutation(len(data)).astype(np.int64)
+    rows = np.arange(len(data))
+    left, right = cover_tree.Tree.of(data[::9], ids[::9], rows[::9], 16), cover_tree.Tree.of(data, ids, rows, 64)
+    best = cover_tree.Best(len(left.points), 10)
+    scored = cover_tree.dual_search(left, right, best)
+    for i in range(len(left.points)):
+        mine = best.query == i
+        got = sorted(zip(-best.score[mine], best.ids[mine], strict=True))
+        exact = sorted((-s, n) for s, n, r in zip(data @ left.points[i], ids, rows, strict=True) if r != left.rows[i])[:10]
         assert got == exact
+        assert best.worst[i] == -exact[-1][0]
+    assert scored <= share * len(left.points) * len(data)  # where points lie together, node pairs are left out
 
 
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 0.5], 1), (100, [0.25, -1.0], 1), (1, [0.3, 0.3], 1), (1, [0.3, 0.3], 1), (2, None, 1), (3, [float("nan"), 1.0], 1), (4, [None, 1.0], 1), (5, [1.0], 1), (None, [1.0, 1.0], 1), (6, [0.3, 0.3], None)]
     got = [tuple(r) for r in cover_tree.top_k(vectors(spark, rows)).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 307 * 1024 + 307 * 512), (0, 2, 6, 307 * 1024 + 307 * 512), (0, 3, 100, 256 * 1024 - 1024 * 512), (100, 1, 1, 307 * 256 - 307 * 1024), (100, 2, 6, 307 * 256 - 307 * 1024), (100, 3, 0, 256 * 1024 - 1024 * 512)]
+    first, second = 307 * 1024 + 307 * 512, 307 * 256 - 307 * 1024  # both rows of id 1 are candidates
+    assert got == [(0, 1, 1, first), (0, 2, 1, first), (0, 3, 6, first), (0, 4, 100, 256 * 1024 - 1024 * 512), (100, 1, 1, second), (100, 2, 1, second), (100, 3, 6, second), (100, 4, 0, 256 * 1024 - 1024 * 512)]
     assert cover_tree.top_k(vectors(spark, [])).count() == 0
+    with pytest.raises(Exception, match="pass"):
+        cover_tree.top_k(vectors(spark, [(0, [1e30, 0.0], 1), (1, [1.0, 1.0], 1)])).collect()
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 64)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCKS", 2)
+    monkeypatch.setattr(cover_tree, "LEAF", 8)
+    monkeypatch.setattr(cover_tree, "QUERY_LEAF", 4)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(10, 8))
+    rows = [(i, (centres[i % 10] + rng.normal(size=8) * 0.05).tolist(), 1) for i in range(1500)]
+    rows += [(100, rng.normal(size=8).tolist(), 1), (100, rng.normal(size=8).tolist(), 1)]  # query rows that share an id
+    rows += [(2000 + i, rows[0][1], 1) for i in range(700)] + [(5000 + i, [0.1, 0.2, 0.3], 1) for i in range(90)]
+    whole = [np.floor(1024 * np.float32(r[1]).astype(float)) for r in rows]
+    want = []
+    for i, r in enumerate(rows):
+        if r[0] % 100 == 0:
+            scores = sorted((-int(whole[i] @ v), rows[j][0]) for j, v in enumerate(whole) if j != i and len(v) == len(whole[i]))
+            want += [(r[0], n + 1, d, -s) for n, (s, d) in enumerate(scores[:10])]
+    measured: list = []
+    got = [tuple(r) for r in cover_tree.top_k(vectors(spark, rows), measured=measured).collect()]
+    assert sorted(got) == sorted(want)
+    assert measured[0][0] < 0.7 * measured[0][1]
 
 
 def vector_truth(rows, least):
@@ -465,12 +513,12 @@ def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings", "pages", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    exact = con.sql(ORACLE_SQL[name]).df()
-    got = QUERIES[name](spark, SF).toPandas()
-    columns = sorted(got.columns)
-    assert columns == sorted(exact.columns)
-    text = lambda frame: sorted(map(str, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()))
-    assert text(got) == text(exact)
+    exact = con.sql(ORACLE_SQL[name]).to_arrow_table()
+    got = QUERIES[name](spark, SF).toArrow()
+    columns = sorted(got.column_names)
+    assert columns == sorted(exact.column_names)
+    rows = lambda table: sorted(zip(*(table[c].to_pylist() for c in columns), strict=True), key=repr)
+    assert rows(got) == rows(exact)
 
 
 def test_pipeline_stages(spark):
@@ -482,9 +530,10 @@ def test_pipeline_stages(spark):
     assert 0.7 * whole.count() <= clean.count() <= whole.count()
     good = corpus_pipeline.reject_poor(spark, whole, SF)
     assert 0.7 * whole.count() <= good.count() < whole.count()
-    groups = golay_simhash.simhash_groups(whole).collect()
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, whole, SF).collect()}
-    assert kept == {r["component_id"] for r in groups}
+    rows = whole.select("doc_id", "text").collect()
+    group = jaccard_groups([r["text"] for r in rows])
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, whole, SF).collect())
+    assert kept == sorted(min(rows[i]["doc_id"] for i in group if group[i] == g) for g in set(group.values()))
     mixed = corpus_pipeline.mix_sources(spark, whole, SF)
     assert mixed.columns == corpus_pipeline.COLUMNS
     assert mixed.count() == sum(r["copies"] for r in systematic_mix.mixed_sizes(whole).collect())
@@ -552,3 +601,42 @@ def test_near_copies_leave_one_row_of_each_group(spark):
         assert sorted((str(r["doc_id"]), r["text"][:5]) for r in got if r["doc_id"] is not None) == sorted([("7", a[:5]), ("3", c[:5]), ("3", "other")])
         assert [r["text"] in (b, b + " end") for r in got if r["doc_id"] is None] == [True]
     assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), SF).count() == 0
+
+
+def test_texts_of_one_template_make_few_pairs(spark):
+    """Texts that share passages but are no near copies: the rows between stages stay few."""
+    from siftline.llm import near_text
+
+    rng = random.Random(5)
+    template = [f"t{rng.randrange(500)}" for _ in range(160)]
+    rows = []
+    for i in range(2000):
+        words = list(template)
+        at = rng.randrange(70)
+        words[at : at + 75] = [f"own{i}x{j}" for j in range(75)]  # about 0.37 alike
+        rows.append((i, " ".join(words)))
+    frame = docs(spark, rows)
+    nodes = near_text.sketched(frame).selectExpr("node", "struct(doc_id IS NULL AS no_id, doc_id, content) AS first", "fp", "keys", "sig", "n")
+    buckets = near_text._buckets(nodes).withColumn("of", near_text.F.col("node"))
+    assert near_text._across(buckets.select("nth", "key", "of", "node"), nodes, 0.8).count() < 200
+    assert near_text.one_of_each(frame).count() == 2000
+
+
+def test_sketches_pass_pairs_at_the_least_similarity():
+    """At 0.8 a sketch rules a pair out less than once in a thousand."""
+    from siftline.llm import near_text
+
+    rng = np.random.default_rng(3)
+    passed = 0
+    for _ in range(400):
+        words = [b"%d" % x for x in rng.integers(0, 10**6, 104)]
+        other = list(words)
+        other[50:52] = [b"x", b"y"]  # six of 100 shingles differ on either side: 94 / 106
+        a, b = near_text.shingle_hashes(words), near_text.shingle_hashes(other)
+        sigs = [near_text.minima(h).astype(np.uint8)[None] for h in (a, b)]
+        passed += bool(near_text.alike(sigs[0], np.array([len(a)]), sigs[1], np.array([len(b)]), 0.8).all())
+    assert passed == 400
+    from math import comb
+
+    agree, total = near_text.AGREE, near_text.BANDS * near_text.ROWS
+    assert sum(comb(total, i) * 0.8**i * 0.2 ** (total - i) for i in range(agree)) < 1e-4
