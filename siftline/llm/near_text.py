@@ -110,13 +110,10 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return written(keyed.join(shared.hint("merge"), ["nth", "key"]), "near-buckets")
 
 
-def alike(sigs: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of rows may be as similar as ``least``: sizes in that ratio, and enough minima agree."""
-    ratio = np.minimum(sizes[:, None], other_sizes) >= least * np.maximum(sizes[:, None], other_sizes)
-    agree = np.zeros(ratio.shape, bool)
-    for at in range(0, len(sigs), 32):
-        agree[at : at + 32] = (sigs[at : at + 32, None] == others).sum(axis=2) >= AGREE * least / LEAST
-    return ratio & agree
+def alike(sig: np.ndarray, n: int, sigs: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Which rows may be as similar to one as ``least``: sizes in that ratio, and enough minima agree."""
+    ratio = np.minimum(n, sizes) >= least * np.maximum(n, sizes)
+    return ratio & ((sig == sigs).sum(axis=1) >= AGREE * least / LEAST)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -188,34 +185,68 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -
     return written(members.groupBy("a", "nth").applyInArrow(check, "a long, b long"), "near-links")
 
 
-def _across(mixed: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components that share a bucket of ``mixed(nth, key, of, node)`` and may be linked.
+def spanning_links(of: np.ndarray, left: np.ndarray, right: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and of ``right`` that join their components ``of``, no more than components.
 
-    A bucket of any size is dealt into parts of about PART_ROWS that meet in pairs; sketches are compared
-    inside the task, so a pair is a row only if its sketches do not rule it out.
+    A row's set is marked over all shingles at hand, so one pass counts what it shares with all rows
+    that its sketch does not rule out and that no link has joined to it yet.
     """
-    sizes = mixed.groupBy("nth", "key").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(number), bool)
+    root = np.unique(of, return_inverse=True)[1]
+    links = []
+    for a in left.tolist():
+        some = right[root[right] != root[a]]
+        some = some[alike(sigs[a], sizes[a], sigs[some], sizes[some], least)]
+        if not len(some):
+            continue
+        own = number[ends[a] - sizes[a] : ends[a]]
+        marked[own] = True
+        lengths = sizes[some]
+        begins = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) + np.repeat(ends[some] - lengths - begins, lengths)
+        both = np.add.reduceat(marked[number[at]], begins, dtype=np.int64)
+        marked[own] = False
+        for b in some[both >= least * (sizes[a] + lengths - both)].tolist():
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                links.append((a, b))
+    return links
+
+
+def _across(docs: DataFrame, mixed: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between components that share a bucket of ``mixed(nth, key, of, node)``.
+
+    A bucket of any size is dealt into parts, of about PART_ROWS rows and GROUP_SHINGLES shingles, that meet in pairs. Sets come
+    to the parts and are compared there; what leaves a task are links that join components, fewer than its rows.
+    """
+    wanted = nodes.select("node", F.col("first.content").alias("content")).join(mixed.select("node").distinct().hint("merge"), "node")
+    sets = _shingle_sets(docs, written(wanted, "near-wanted"))
+    sized = mixed.join(nodes.select("node", "sig", "n").hint("merge"), "node")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
     cells = (
-        mixed.join(sizes.hint("merge"), ["nth", "key"])
+        sized.join(mixed.join(nodes.select("node", "n").hint("merge"), "node").groupBy("nth", "key").agg(parts.alias("parts")).hint("merge"), ["nth", "key"])
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("nth", "key", "of", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        .join(nodes.select("node", "sig", "n").hint("merge"), "node")
+        .select("nth", "key", "of", "node", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .join(sets.hint("merge"), "node")
     )
 
     def meet(table: pa.Table) -> pa.Table:
-        node, of, part, n = (table[c].to_numpy() for c in ("node", "of", "part", "n"))
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
-        low = table["i"][0].as_py()
-        left = part == low
-        right = ~left if table["j"][0].as_py() != low else left
-        hit = alike(sigs[left], n[left], sigs[right], n[right], least)
-        hit &= of[left][:, None] != of[right]
-        a, b = np.nonzero(hit)
-        a, b = node[left][a], node[right][b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        node, of, part = (table[c].to_numpy() for c in ("node", "of", "part"))
+        order = np.argsort(node)  # the same links whatever the order of rows
+        node, of, part = node[order], of[order], part[order]
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)[order]
+        sets = [np.frombuffer(table["shingles"][i].as_py(), np.uint64) for i in order.tolist()]
+        low, high = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        links = spanning_links(of, left, right, sigs, sets, least) if len(left) and len(right) else []
+        ends = node[np.array(links, dtype=np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return cells.groupBy("nth", "key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return written(cells.groupBy("nth", "key", "i", "j").applyInArrow(meet, "a long, b long"), "near-more")
 
 
 def near_groups(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -223,8 +254,8 @@ def near_groups(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> Data
 
     Nodes that share a key are candidates. Each bucket's nodes are first compared with its
     smallest, which settles a bucket of near copies of any size in as many comparisons as it has
-    nodes. Where a bucket still holds several components, its nodes are compared across them, by sketches in the
-    task and then by their sets, so no pair that shares a key is passed over unless its sketches rule it out.
+    nodes. Where a bucket still holds several components, its nodes are compared across them inside tasks,
+    so no pair that shares a key is passed over unless its sketches rule it out, and pairs are never rows.
     Every link is an exact Jaccard check.
     """
     buckets = _buckets(nodes)
@@ -237,8 +268,7 @@ def near_groups(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> Data
     mixed = written(placed.join(several.hint("merge"), ["nth", "key"]).select("nth", "key", "of", "node"), "near-mixed")
     if mixed.isEmpty():
         return groups
-    more = written(_across(mixed, nodes, least).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-more")
-    return groups if more.isEmpty() else connected_components(links.unionByName(_linked(docs, nodes, more, least)))
+    return connected_components(links.unionByName(_across(docs, mixed, nodes, least)))
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:

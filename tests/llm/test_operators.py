@@ -603,8 +603,8 @@ def test_near_copies_leave_one_row_of_each_group(spark):
     assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), SF).count() == 0
 
 
-def test_texts_of_one_template_make_few_pairs(spark):
-    """Texts that share passages but are no near copies: the rows between stages stay few."""
+def test_texts_of_one_template_stay(spark):
+    """Texts that share passages but are no near copies all stay."""
     from siftline.llm import near_text
 
     rng = random.Random(5)
@@ -616,12 +616,29 @@ def test_texts_of_one_template_make_few_pairs(spark):
         words[at : at + 75] = [f"own{i}x{j}" for j in range(75)]  # about 0.37 alike
         rows.append((i, " ".join(words)))
     frame = docs(spark, rows)
-    nodes = near_text.sketched(frame).selectExpr("node", "struct(doc_id IS NULL AS no_id, doc_id, content) AS first", "fp", "keys", "sig", "n")
-    buckets = near_text._buckets(nodes).withColumn("of", near_text.F.col("node"))
-    assert near_text._across(buckets.select("nth", "key", "of", "node"), nodes, 0.8).count() < 200
     assert near_text.one_of_each(frame).count() == 2000
 
 
+def test_links_of_a_bucket_are_fewer_than_its_rows():
+    """A family in which most texts are about 0.7 alike: links join what brute force joins, and no pair is a row."""
+    from siftline.llm import near_text
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**62, 200).astype(np.uint64)
+    sets = []
+    for _ in range(240):
+        own = base.copy()
+        own[rng.choice(200, rng.integers(6, 40), replace=False)] = rng.integers(0, 2**62)
+        sets.append(np.unique(own))
+    sigs = np.stack([near_text.minima(x).astype(np.uint8) for x in sets])
+    every = np.arange(len(sets))
+    links = near_text.spanning_links(every, every, every, sigs, sets, 0.8)
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = components_of([(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])], range(len(sets)))
+    assert all(near(sets[a], sets[b]) for a, b in links) and len(links) < len(sets)
+    assert components_of(links, range(len(sets))) == want
+
+
 def test_sketches_pass_pairs_at_the_least_similarity():
     """At 0.8 a sketch rules a pair out less than once in a thousand."""
     from siftline.llm import near_text
@@ -634,7 +651,7 @@ def test_sketches_pass_pairs_at_the_least_similarity():
         other[50:52] = [b"x", b"y"]  # six of 100 shingles differ on either side: 94 / 106
         a, b = near_text.shingle_hashes(words), near_text.shingle_hashes(other)
         sigs = [near_text.minima(h).astype(np.uint8)[None] for h in (a, b)]
-        passed += bool(near_text.alike(sigs[0], np.array([len(a)]), sigs[1], np.array([len(b)]), 0.8).all())
+        passed += bool(near_text.alike(sigs[0][0], len(a), sigs[1], np.array([len(b)]), 0.8).all())
     assert passed == 400
     from math import comb
 
