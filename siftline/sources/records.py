@@ -2,83 +2,48 @@
 
 from __future__ import annotations
 
-import json
-import math
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType, VariantType
 
-from siftline.functions.text import clean_utf8, last_name_wins, parse_json, strip
+from siftline.functions.text import clean_utf8, last_name_wins, strip
 from siftline.schemas import COMMIT_FLAG_FIELDS, COMMIT_OPEN_FIELDS, COMMIT_TEXT_FIELDS
 
 #: Columns that put records back into shard and line order.
 RECORD_ORDER = ["shard", "shard_offset", "line_id"]
 
 
-_SLOW = StructType([StructField("rest", StringType()), StructField("texts", ArrayType(StringType()))])
-
-
-@F.pandas_udf(_SLOW)
-def read_slowly(lines: pd.Series) -> pd.DataFrame:
-    """Records in full Python JSON: the text fields as they are, all others as strict JSON; NULL for what is no object."""
-
-    def finite(value):
-        if isinstance(value, float) and not math.isfinite(value):
-            return None
-        if isinstance(value, dict):
-            return {k: finite(v) for k, v in value.items()}
-        return [finite(v) for v in value] if isinstance(value, list) else value
+#: Stands behind a record when it is parsed; it is only read back if the line was one whole value.
+_END = "end-of-line-5b1d0c7e"
 
-    def text(value):
-        return value if value is None or isinstance(value, str) else json.dumps(finite(value))
 
-    rows = []
-    for line in lines:
-        try:
-            record = json.loads(line) if line else None
-        except (ValueError, RecursionError):
-            record = None
-        if not isinstance(record, dict):
-            rows.append((None, None))
-            continue
-        rest = {k: finite(v) for k, v in record.items() if k not in COMMIT_TEXT_FIELDS}
-        rows.append((json.dumps(rest), [text(record.get(name)) for name in COMMIT_TEXT_FIELDS]))
-    return pd.DataFrame(rows, columns=["rest", "texts"])
+def _line_schema() -> ArrayType:
+    """A line's record and the mark behind it; open fields and the edit script keep their JSON type."""
+    fields = [StructField(name, StringType()) for name in COMMIT_TEXT_FIELDS]
+    fields += [StructField(name, BooleanType()) for name in COMMIT_FLAG_FIELDS]
+    fields += [StructField(name, VariantType()) for name in (*COMMIT_OPEN_FIELDS, "edit_script")]
+    return ArrayType(StructType([*fields, StructField("_end", StringType())]))
 
 
 def parse_records(df: DataFrame, line: str = "value") -> DataFrame:
     """Replace a column of JSON text by the commit fields.
 
-    Blank lines and lines that are not JSON drop out; a field that is missing or of
-    another type becomes NULL and the record stays. Each line is parsed once, natively; lines
-    that this does not take (NaN or Infinity as a value, more than a VARIANT
-    holds, outer blanks beyond JSON's own) are read once more by Python's reader, in Arrow batches.
+    Blank lines and lines that are not one JSON object drop out; a field that is missing or of
+    another type becomes NULL and the record stays. The reader knows the fields beforehand, so each line is
+    parsed once, in the JVM, and only these fields are built. It takes NaN and Infinity as values, as Python does, and keeps the
+    last of repeated names. The parser stops after a line's first value and would take joined values, so the line is read as the
+    first of a list of two, whose second is known.
     """
     kept = [name for name in df.columns if name != line]
-    clean = df.select(*kept, clean_utf8(F.col(line)).alias("_clean"))
     last_name_wins(df.sparkSession)
-    first = clean.select(*kept, "_clean", F.explode(F.array(parse_json(F.col("_clean")))).alias("_first"))
-    # Only lines that fail so far come to Python's reader: others never leave the JVM.
-    edged = strip(F.col("_clean"))
-    suspect = F.when(F.col("_first").isNull() & edged.startswith("{"), edged)
-    slow = first.withColumn("_slow", read_slowly(suspect))
-    record = F.coalesce("_first", parse_json(F.col("_slow.rest")))
-    held = slow.select(*kept, "_slow", F.explode(F.array(record)).alias("_record")).where(F.col("_record").isNotNull())
-    fields = [
-        F.coalesce(F.try_variant_get("_record", f"$.{name}", "string"), F.col("_slow.texts")[place]).alias(name)
-        for place, name in enumerate(COMMIT_TEXT_FIELDS)
-    ]
-    fields += [
-        F.try_variant_get("_record", f"$.{name}", "boolean").alias(name) for name in COMMIT_FLAG_FIELDS
-    ]
-    fields += [
-        F.try_variant_get("_record", f"$.{name}", "variant").alias(name) for name in COMMIT_OPEN_FIELDS
-    ]
-    script = F.to_json(F.try_variant_get("_record", "$.edit_script", "variant")).alias("edit_script")
-    return held.select(*kept, *fields, script)
+    listed = F.concat(F.lit("["), strip(clean_utf8(F.col(line))), F.lit(f',{{"_end":"{_END}"}}]'))
+    options = {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1)}
+    parsed = df.select(*kept, F.explode(F.array(F.from_json(listed, _line_schema(), options))).alias("_line"))
+    record = F.col("_line")[0]
+    held = parsed.where((F.size("_line") == 2) & (F.col("_line")[1]["_end"] == _END) & record.isNotNull())
+    names = [*COMMIT_TEXT_FIELDS, *COMMIT_FLAG_FIELDS, *COMMIT_OPEN_FIELDS]
+    return held.select(*kept, *[record[name].alias(name) for name in names], F.to_json(record["edit_script"]).alias("edit_script"))
 
 
 def read_commit_records(

@@ -143,3 +143,29 @@ def test_records_are_read_as_python_reads_them(spark):
     assert sorted(got) == ["long", "name", "nan", "plain"]
     assert [got[k]["diff"] for k in sorted(got)] == ["x", "y", "x", "x"]
     assert len(got["long"]["before"]) == len(long)
+
+
+def test_fields_of_other_types_become_null_and_the_record_stays(spark):
+    lines = {
+        "flag": '{"diff":"x","comodified":"yes","in_function":true}',
+        "number": '{"diff":5,"before":1.50,"after":true,"project":null}',
+        "open": '{"diff":"x","sstub_pattern":7,"likely_bug":"true","edit_script":{"b":[1,"c"]}}',
+        "nan": '{"diff":"x","likely_bug":NaN,"comodified":Infinity,"edit_script":null}',
+        "escape": '{"diff":"a\\u00e9\\n\\"q\\"","unknown":{"diff":"inner"}}',
+        "empty": "{}",
+        "text": '"{}"', "five": "5", "none": "null", "array": '[{"diff":"x"}]', "open end": '{"diff":"x"', "quote": "{'diff':'x'}",
+        "marked": '{"diff":"x"},"end":"end-of-line"', "nested": '{"record":{"diff":"x"}}',
+    }
+    records = parse_records(spark.createDataFrame(list(lines.items()), "id string, value string"))
+    got = {r["id"]: r for r in records.withColumn("open", F.to_json("sstub_pattern")).collect()}
+    assert sorted(got) == ["empty", "escape", "flag", "nan", "nested", "number", "open"]
+    assert (got["flag"]["diff"], got["flag"]["comodified"], got["flag"]["in_function"]) == ("x", None, True)
+    assert [got["number"][c] for c in ("diff", "before", "after", "project")] == ["5", "1.5", "true", None]
+    assert (got["open"]["open"], got["open"]["edit_script"]) == ("7", '{"b":[1,"c"]}')
+    assert (got["nan"]["diff"], got["nan"]["comodified"]) == ("x", None)
+    assert got["escape"]["diff"] == 'a\u00e9\n"q"' and got["empty"]["diff"] is None and got["nested"]["diff"] is None
+
+
+def test_records_are_read_without_python(spark):
+    plan = parse_records(spark.createDataFrame([('{"diff":"x"}',)], "value string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
