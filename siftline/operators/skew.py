@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.operators.bitmaps import MOST_BITS, bitmap_bits, key_bitmap, maybe_among
 from siftline.session import fits_broadcast
 
 #: Slices a hot key is dealt into.
@@ -33,22 +34,42 @@ def hashable(df: DataFrame) -> list[str]:
     return [f"`{name}`" for name in plain]
 
 
+def surely_apart(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose key is surely not in ``keys``, null keys among them, and the rest.
+
+    A bitmap of the hashes of ``keys``, at most 16 MB, is merged from the tasks' own and broadcast, so the first
+    part is a filter on the scan of ``df``. Each key has 32 bits up to about four million keys; past that the bitmap
+    fills up, and beyond the number at which it is full it is not worth a pass and the first part is empty.
+    """
+    value = F.xxhash64(F.col(key))
+    n = keys.count()
+    if n > 2 * MOST_BITS:  # nearly every bit would be set
+        return df.where(F.lit(False)), df
+    bits = bitmap_bits(n)
+    bitmap = key_bitmap(keys.select(value.alias("hash")), bits)
+    found, may = maybe_among(df, bitmap, value, bits)
+    may = may & F.col(key).isNotNull()
+    return found.where(~may).drop("_bitmap"), found.where(may).drop("_bitmap")
+
+
 def balanced_anti_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in the distinct ``keys``.
 
     Where ``keys`` is known to be small it is broadcast and ``df`` does not move.
-    Otherwise rows of hot keys, and rows without a key, are dealt over all partitions,
-    and only the few hot keys are repeated on the other side. Size-based splitting at
-    run time would not see them, because equal rows compress to next to nothing.
+    Otherwise rows whose key is surely not among them stay where they are; see ``surely_apart``. Of the others, rows of hot
+    keys are dealt over all partitions, and only the few hot keys are repeated on the other side.
+    Size-based splitting at run time would not see them, because equal rows compress to next to nothing.
     """
     if fits_broadcast(keys):
         return df.join(keys, key, "left_anti")
-    hot = hot_keys(df, key)
+    apart, rest = surely_apart(df, keys, key)
+    hot = hot_keys(rest, key)
     is_hot = F.col(key).isin(hot)
     # by content, so that a task that runs again deals every row as before
     dealt = F.pmod(F.xxhash64(*hashable(df)), F.lit(SALTS)).cast("int")
-    salt = F.when(is_hot | F.col(key).isNull(), dealt).otherwise(0)
+    salt = F.when(is_hot, dealt).otherwise(0)
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    left = df.withColumn("_salt", salt)
+    left = rest.withColumn("_salt", salt)
     right = keys.select(key, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    return left.join(right, [key, "_salt"], "left_anti").select(*df.columns)
+    unseen = left.join(right, [key, "_salt"], "left_anti").select(*df.columns)
+    return apart.select(*df.columns).unionByName(unseen)

@@ -110,3 +110,29 @@ def test_blank_and_feedback(spark):
     data = [(" x ", "y"), (None, "y\n"), (None, None)]
     got = repair_text.coalesce_feedback(spark.createDataFrame(data, "a string, b string"), ["a", "b"])
     assert [r["feedback"] for r in got.collect()] == ["x", "y", None]
+
+
+def test_bitmap_never_loses_a_key(spark):
+    from siftline.operators.bitmaps import ROW_BITS, bitmap_bits, key_bitmap, maybe_among
+
+    keys = spark.range(5000).select(F.xxhash64("id").alias("hash"))
+    bits = bitmap_bits(5000)
+    assert bits % ROW_BITS == 0 and 5000 * 16 <= bits <= 5000 * 64
+    rows = spark.range(50_000).withColumn("id", F.when(F.col("id") % 100 < 99, F.col("id")))
+    found, may = maybe_among(rows, key_bitmap(keys, bits), F.when(F.col("id").isNotNull(), F.xxhash64("id")), bits)
+    got = found.select("id", may.alias("may"))
+    assert got.where("id < 5000 AND NOT may").count() == 0 and got.where("id IS NULL AND may").count() == 0
+    assert got.count() == 50_000 and got.where("id >= 5000 AND may").count() < 3000
+    empty, none = maybe_among(rows, key_bitmap(keys.limit(0), bits), F.xxhash64("id"), bits)
+    assert empty.where(none).count() == 0
+
+
+def test_rows_surely_unseen_stay_out_of_the_shuffle(spark):
+    from siftline.operators.skew import surely_apart
+
+    df = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("v").alias("_salt"))
+    df = df.unionByName(spark.createDataFrame([(None, "n")], "k string, _salt string"))
+    seen = spark.range(300).select(F.concat(F.lit("k"), F.col("id") * 3).alias("k"))
+    apart, rest = surely_apart(df, seen, "k")
+    assert apart.where("k IS NULL").count() == 1 and rest.count() < 2500 and apart.count() + rest.count() == 20_001
+    assert rest.join(seen, "k").count() == 300
