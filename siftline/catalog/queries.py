@@ -535,8 +535,6 @@ def coalesce_feedback(spark, sf_dir):
 
 #: About how many labelled rows grow a query's trees, drawn by hash order; terms come from all rows, and every row is scored.
 FIT_ROWS = 2000
-#: Boosting rounds of the queries. The function's default is 500, of one job or more for each tree level.
-ROUNDS = 10
 
 
 def _swapped(spark, sf_dir):
@@ -554,7 +552,7 @@ def forest_scores(spark, sf_dir):
 def boosted_scores(spark, sf_dir):
     code = I.tagged_code(spark, sf_dir)
     bounded = {"fit_rows": FIT_ROWS, "key": "o_orderkey"}
-    model = learn.fit_boosted(code, "code", "label", rounds=ROUNDS, rate=0.3, subset="sqrt", **bounded)
+    model = learn.fit_boosted(code, "code", "label", subset="sqrt", **bounded)
     scored = learn.score_multiclass(code, model, "code")
     return scored.select("o_orderkey", "label", "prediction", "bug_type", "pass_on")
 
@@ -573,7 +571,7 @@ def classifier_run(spark, sf_dir):
         F.element_at(F.array(*[F.lit(text) for text in texts]), F.col("label") + 1).alias("label"),
         task.alias("source_task"),
     )
-    run = run_classifier_pipeline(raw, "o_orderkey", target=None, rounds=ROUNDS, rate=0.3, subset="sqrt", fit_rows=FIT_ROWS)
+    run = run_classifier_pipeline(raw, "o_orderkey", target=None, subset="sqrt", fit_rows=FIT_ROWS)
     return run.report
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ from siftline.operators.features import (
 from siftline.operators.filters import flag_binary, flag_multiclass
 from siftline.operators.sampling import stratified_sample
 
+#: One in so many texts is kept from boosted trees, to end their rounds.
+HELD_SHARE = 10
+#: Rows of a task of a boosting round, at least.
+ROWS_A_TASK = 2000
+
 
 @dataclass(frozen=True)
 class CodeModel:
@@ -93,6 +99,7 @@ def fit_boosted(
     seed: int = 42,
     parallelism: int = 4,
     subset: str = "all",
+    tolerance: float | None = 0.01,
     profile: Profile = BUG_AWARE,
     fit_rows: int | None = None,
     key: list[str] | str | None = None,
@@ -104,26 +111,47 @@ def fit_boosted(
     node's statistics over all terms pass the driver; with tens of thousands of terms
     give ``subset="sqrt"``, by which each node looks at a random few. ``fit_rows`` bounds
     the rows of the trees only, as in ``fit_forest``.
+
+    ``rounds`` is a cap. A tenth of the texts, chosen by hash, so that copies fall on one side, is kept from the
+    trees; a class's rounds end once its loss there gets better by less than ``tolerance`` of itself in a round, and its
+    model keeps the best round. ``tolerance=None`` runs all rounds on all rows, and so does a table too small to
+    hold rows of either class back.
     """
     tfidf = fit_tfidf(df, code, profile, **vocab)
     some = labelled_rows(df, label, fit_rows, key, seed)
     weighted = balanced_weights(some.select(code, label), label)
-    prepared = code_features(weighted, code, tfidf, with_ast=True)
-    learner = OneVsRest(
-        classifier=GBTClassifier(
-            maxIter=rounds,
-            stepSize=rate,
-            maxDepth=depth,
-            seed=seed,
-            featureSubsetStrategy=subset,
-            maxMemoryInMB=1024,
-            cacheNodeIds=True,
-        ),
-        labelCol=label,
-        weightCol="weight",
-        parallelism=parallelism,
-    )
-    return CodeModel(tfidf, _fit(learner, prepared.select(label, "weight", "features")), with_ast=True)
+    held = F.pmod(F.xxhash64(F.lit(seed), F.col(code)), F.lit(HELD_SHARE)) == 0
+    prepared = code_features(weighted.withColumn("held", held), code, tfidf, with_ast=True)
+    learner = GBTClassifier(
+        labelCol="_is", weightCol="weight", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed,
+        featureSubsetStrategy=subset, maxMemoryInMB=1024, cacheNodeIds=True,
+    )
+    kept = prepared.select(F.col(label).cast("int").alias(label), "weight", "held", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {(r[label], r["held"]): r["n"] for r in kept.groupBy(label, "held").agg(F.count(F.lit(1)).alias("n")).collect()}
+        classes = range(max((c for c, _ in counts), default=-1) + 1)
+        # each round is several jobs over all rows, so a task should have more to do than to start
+        tasks = max(1, sum(counts.values()) // ROWS_A_TASK)
+
+        def fit_one(c: int):
+            marked = kept.withColumn("_is", (F.col(label) == c).cast("double")).coalesce(tasks)
+            own, all_held = counts.get((c, True), 0), sum(n for (_, h), n in counts.items() if h)
+            rows_left = [counts.get((c, False), 0), sum(n for (x, h), n in counts.items() if not h and x != c)]
+            if tolerance is None or not own or own == all_held or not all(rows_left):
+                return learner.fit(marked)
+            return learner.copy({learner.validationIndicatorCol: "held", learner.validationTol: tolerance}).fit(marked)
+
+        # classes wait on many small jobs each, so some are fitted at a time
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            models = list(pool.map(inheritable_thread_target(kept.sparkSession)(fit_one), classes))
+    finally:
+        kept.unpersist()
+    return CodeModel(tfidf, OneVsRestModel(models).setFeaturesCol("features"), with_ast=True)
+
+
+def rounds_used(code_model: CodeModel) -> list[int]:
+    """Trees that each class's boosted model kept."""
+    return [m.getNumTrees for m in code_model.model.models]
 
 
 def _fit(learner, prepared: DataFrame):

@@ -1,3 +1,5 @@
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,17 @@ def test_review_and_stream(spark, forest, tmp_path):
         assert spark.read.parquet(target).count() == total
 
 
+def test_boosting_ends_where_held_texts_gain_no_more(spark):
+    rows = [(i, f"def f{i}(a, b):\n    return a {'+-'[i % 2]} b", i % 2) for i in range(120)]
+    many = spark.createDataFrame(rows, "id long, code string, label int")
+    free = learn.rounds_used(learn.fit_boosted(many, "code", "label", rounds=60, rate=0.5, depth=2, tolerance=0.2, **VOCAB))
+    assert len(free) == 2 and max(free) < 60
+    assert learn.rounds_used(learn.fit_boosted(many, "code", "label", rounds=4, depth=2, tolerance=None, **VOCAB)) == [4, 4]
+    # all texts equal: none can be held back, so all rounds run
+    same = many.withColumn("code", F.lit("x = 1"))
+    assert learn.rounds_used(learn.fit_boosted(same, "code", "label", rounds=2, depth=2, **VOCAB)) == [2, 2]
+
+
 def test_forest_run_and_multiclass_review(spark, code, tmp_path):
     binary = code.withColumn("label", (F.col("label") == 1).cast("int"))
     run = run_forest_pipeline(binary, "id", code="code", trees=5, store=str(tmp_path / "m"), **VOCAB)
@@ -109,7 +122,7 @@ def test_classifier_query_reports_the_whole_test_part(spark, monkeypatch):
 
     sf_dir = "/root/testdata/sf0.001"
     monkeypatch.setattr(queries, "FIT_ROWS", 100)
-    monkeypatch.setattr(queries, "ROUNDS", 1)
+    monkeypatch.setattr(queries, "run_classifier_pipeline", partial(run_classifier_pipeline, rounds=1))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # no two functions are equal
     report = {r["row"]: r["support"] for r in queries.classifier_run(spark, sf_dir).collect()}
     assert report["accuracy"] == -(-orders // 5)
