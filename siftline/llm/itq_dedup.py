@@ -17,6 +17,9 @@ FIT_ROWS, FIT_ROUNDS = 10_000, 30
 BITS, TABLES = 64, 8
 #: Rows of a bucket that one task compares; larger buckets are dealt into parts of this size that meet in pairs.
 PART_ROWS = 1024
+#: Vector lengths, the most frequent ones, that get a rotation of their own. Classes of rarer lengths all meet within
+#: their label and length, which is exact and, as they are rarer, no more work than one fitted length without codes.
+FITTED_WIDTHS = 64
 
 
 def fit_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = FIT_ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +106,8 @@ def vector_groups(
 
     Null, empty and zero vectors, null labels, and vectors with null or non-finite
     components link with nothing: no links, a component of their own. Vectors of
-    different length never link. Rows that share a vec_id count as separate vectors; they
-    share the component of the smallest id. Null ids are kept with a null component. Other columns are not
+    different length never link. Rows that share a vec_id are separate vectors, with links and
+    components of their own. Null ids are kept with a null component. Other columns are not
     looked at; an empty table gives an empty result.
     """
     raw = F.col(embedding).cast("array<double>")
@@ -118,14 +121,15 @@ def vector_groups(
         "itq-rows",
     )
     valid = rows.where("fine")
-    classes = written(
-        valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "itq-classes"
-    )
-    widths = [r["n"] for r in classes.select(F.size("v").alias("n")).distinct().orderBy("n").limit(1000).collect()]
+    grouped = valid.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # the number is fixed by the written table; ids may be shared by classes, so they cannot stand for them
+    classes = written(grouped.withColumn("rep", F.monotonically_increasing_id()), "itq-classes")
+    frequent = classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(FITTED_WIDTHS)
+    widths = [r["n"] for r in frequent.collect()]
     cells = None
     for width in widths:
         own = classes.where(F.size("v") == width)
-        sample = own.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("v").toPandas()["v"]
+        sample = own.orderBy(F.xxhash64("first", "v"), "first", "label").limit(FIT_ROWS).select("v").toPandas()["v"]
         units = np.stack(sample.to_list())
         units = units / np.linalg.norm(units, axis=1, keepdims=True)
         keyed = _keyed(own, width, *fit_rotation(units))
@@ -133,6 +137,8 @@ def vector_groups(
     if cells is None:
         found = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    if len(widths) == FITTED_WIDTHS:
+        cells = cells.unionByName(_unkeyed(classes.where(~F.size("v").isin(widths))))
     hits = written(
         cells.groupBy("width", "label", "nth", "byte", "i", "j").applyInArrow(
             lambda t: _link_cell(t, least), "rep long, links long, root long"
@@ -141,12 +147,14 @@ def vector_groups(
     )
     counts = hits.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(hits.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    placed = written(
+    rooted = written(
         classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+            "label", "v", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("at")
         ),
-        "itq-placed",
+        "itq-rooted",
     )
+    smallest = rooted.groupBy("at").agg(F.min("first").alias("component_id"))
+    placed = written(rooted.join(smallest, "at").select("label", "v", "n_links", "component_id"), "itq-placed")
     linked = valid.select("vec_id", "label", "v").join(placed, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -174,17 +182,31 @@ def _keyed(classes: DataFrame, width: int, mean: np.ndarray, projection: np.ndar
     )
     nth = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
     byte = F.hex(F.substring(F.col("code"), F.col("nth") + 1, F.lit(1)))
-    tabled = lambda *names: coded.select("rep", "label", "code", *names, nth.alias("nth")).withColumn("byte", byte)
-    sizes = tabled().groupBy("label", "nth", "byte").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    tabled = coded.withColumn("nth", nth).withColumn("byte", byte).withColumn("width", F.lit(width))
+    return _cells(tabled)
+
+
+def _unkeyed(classes: DataFrame) -> DataFrame:
+    """Classes without codes: one bucket for each label and length."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return _cells(
+        classes.select(
+            "rep", "label", "copies", F.transform("v", lambda x: x / norm).alias("unit"), F.lit(bytes(TABLES)).alias("code"),
+            F.lit(0).alias("nth"), F.lit("").alias("byte"), F.size("v").alias("width"),
+        )
+    )
+
+
+def _cells(tabled: DataFrame) -> DataFrame:
+    """Every row of a bucket (width, label, nth, byte) in the cells ``(i, j)`` of its part and each other part."""
+    bucket = ["width", "label", "nth", "byte"]
+    sizes = tabled.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     parted = (
-        tabled("copies", "unit")
-        .join(sizes, ["label", "nth", "byte"])
+        tabled.join(sizes, bucket)
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
     return parted.select(
-        F.lit(width).alias("width"), "label", "nth", "byte",
-        F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        (F.col("part") != F.col("other")).alias("both"),
-        "rep", "copies", "code", "unit", "part",
-    )
+        *bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+        (F.col("part") != F.col("other")).alias("both"), "rep", "copies", "code", "unit", "part",
+    )

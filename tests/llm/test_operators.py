@@ -290,6 +290,31 @@ def test_vector_groups(spark, monkeypatch):
     assert itq_dedup.vector_groups(vectors(spark, [])).count() == 0
 
 
+def test_vectors_that_share_an_id_are_separate(spark):
+    one, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(7, one, 1), (7, other, 1), (3, one, 1), (8, [1.0, 0.01, 0.0], 1), (9, [0.01, 1.0, 0.0], 1), (10, other, 2)]
+    got = sorted(tuple(r) for r in itq_dedup.vector_groups(vectors(spark, rows)).collect())
+    assert got == [(3, 2, 3, True), (7, 1, 7, True), (7, 2, 3, False), (8, 2, 3, False), (9, 1, 7, False), (10, 0, 10, True)]
+
+
+def test_vectors_of_rare_lengths_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(itq_dedup, "FITTED_WIDTHS", 1)
+    monkeypatch.setattr(itq_dedup, "PART_ROWS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.ones(5) + rng.normal(size=5)).tolist(), i % 2) for i in range(60)]
+    for width in (2, 3, 4):
+        rows += [(100 * width + i, (np.ones(width) + 0.4 * rng.normal(size=width)).tolist(), i % 2) for i in range(30)]
+    links = [(i, j) for i, j in vector_truth(rows, 0.93) if len(rows[i][1]) < 5]
+    degree = np.zeros(len(rows), int)
+    for pair in links:
+        degree[list(pair)] += 1
+    got = {r["vec_id"]: r for r in itq_dedup.vector_groups(vectors(spark, rows)).collect()}
+    best = components_of([(rows[i][0], rows[j][0]) for i, j in links], [r[0] for r in rows])
+    for row, d in zip(rows, degree, strict=True):
+        if len(row[1]) < 5:
+            assert (got[row[0]]["n_links"], got[row[0]]["component_id"]) == (d, best[row[0]])
+
+
 # ---- 4: fingerprints ---------------------------------------------------------
 
 
