@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
 Trained in numpy on a bounded sample; every text is scored whole, as the highest
-score among all its overlapping windows.
+score among all its overlapping windows, one from each word on.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from siftline.llm.common import held_out, labelled_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Words per window and between window starts; windows overlap by three words.
-WINDOW, STRIDE = 12, 9
+#: Words per window. Every run of so many words is scored.
+WINDOW = 12
+#: Words between the starts of the windows that the fit takes; they overlap by three words. Scores take all starts.
+FIT_STRIDE = 9
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 8192, 4096, 8, 6
 #: Most labelled rows of the fit, and most windows taken from one of them in one round of the fit.
 FIT_ROWS, FIT_WINDOWS = 1500, 20
@@ -66,19 +68,15 @@ def char_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return number[inside], rows[inside]
 
 
-def windows_of(n: int) -> np.ndarray:
-    """Starts of the windows over n words; one, if there are few words or none."""
-    return np.arange(0, max(n - WINDOW, 0) + STRIDE, STRIDE)
-
-
-def window_table(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows over texts laid end to end: word numbers (-1 beyond a text's end), and each window's text."""
+def window_table(ids: np.ndarray, lengths: np.ndarray, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over texts laid end to end, ``stride`` words apart: word numbers (-1 beyond a text's end), and each
+    window's text. A text of few words or none has one; the last window may reach beyond the end."""
     per_text = np.maximum(lengths - WINDOW, 0)
-    per_text = (per_text + STRIDE - 1) // STRIDE + 1
+    per_text = (per_text + stride - 1) // stride + 1
     text = np.repeat(np.arange(len(lengths)), per_text)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     offset = np.cumsum(lengths) - lengths
-    at = nth[:, None] * STRIDE + np.arange(WINDOW)
+    at = nth[:, None] * stride + np.arange(WINDOW)
     valid = at < lengths[text][:, None]
     if not len(ids):
         return np.full(at.shape, -1, dtype=np.int64), text
@@ -182,6 +180,61 @@ class Network:
         parts = [_sigmoid(self.forward(tables, index[i : i + block])) for i in range(0, len(index), block)]
         return np.concatenate(parts) if parts else np.empty(0, np.float32)
 
+    def run_scores(self, tables: tuple[np.ndarray, np.ndarray], ids: np.ndarray, block: int = 4096) -> np.ndarray:
+        """Score of the window at each place of ``ids`` that has WINDOW words from there on: as ``window_scores`` of
+        all these windows, but neighbours share their words, so step t of a block of windows reads one slice."""
+        n = len(ids) - WINDOW + 1
+        # gates as tanh(x / 2): the halves go into the weights
+        halved = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
+        sides = []
+        for side, at in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
+            own = 0.5 * self.p["own_" + side].T
+            heads = np.stack([self.p["attend"][at], self.p["out"][at]])
+            sides.append((np.ascontiguousarray(own[: 2 * HIDDEN]), np.ascontiguousarray(own[2 * HIDDEN :]), heads))
+        scores = np.empty(max(n, 0), np.float32)
+        for start in range(0, n, block):
+            size = min(block, n - start)
+            place = ids[start : start + size + WINDOW - 1]
+            seen = np.zeros((2, WINDOW, size), np.float32)  # attention and output of each place's state
+            for table, (gate_own, new_own, heads), order in zip(tables, sides, (range(WINDOW), range(WINDOW - 1, -1, -1)), strict=True):
+                x = np.ascontiguousarray((table[place] * halved).T)
+                h = np.zeros((HIDDEN, size), np.float32)
+                for t in order:
+                    gates = gate_own @ h
+                    gates += x[: 2 * HIDDEN, t : t + size]
+                    np.tanh(gates, out=gates)
+                    reset, update = gates[:HIDDEN], gates[HIDDEN:]
+                    reset *= h
+                    reset += h
+                    new = new_own @ reset
+                    new += x[2 * HIDDEN :, t : t + size]
+                    np.tanh(new, out=new)
+                    new -= h
+                    new *= 0.5
+                    h += new
+                    new *= update
+                    h += new
+                    seen[:, t] += heads @ h
+            weight = np.exp(seen[0] - seen[0].max(axis=0))
+            scores[start : start + size] = _sigmoid((weight * seen[1]).sum(axis=0) / weight.sum(axis=0) + self.p["bias"][0])
+        return scores
+
+    def highest(self, tables: tuple[np.ndarray, np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Highest score of all windows of each of the texts laid end to end in ``ids``."""
+        best = np.zeros(len(lengths))
+        long = lengths >= WINDOW
+        of_word = np.repeat(long, lengths)
+        index, _ = window_table(ids[~of_word], lengths[~long])
+        best[~long] = self.window_scores(tables, index)
+        if long.any():
+            run, sizes = ids[of_word], lengths[long]
+            scores = self.run_scores(tables, run)
+            ends = np.cumsum(sizes)
+            left = np.repeat(ends, sizes)[: len(scores)] - np.arange(len(scores))
+            scores[left < WINDOW] = 0  # these windows would reach into the next text
+            best[long] = np.maximum.reduceat(scores, ends - sizes)
+        return best
+
 
 def _train(net: Network, words: list[str], index, target, weights, epochs: int, rng, rate: float = 0.01) -> None:
     """Adam over batches of windows; each batch looks up its own words only."""
@@ -243,7 +296,8 @@ def fit_network(sample: pd.DataFrame, seed: int = 7) -> Network:
     heaviest = np.argsort(seen, kind="stable")  # the most frequent word of a row decides
     start[rows[heaviest]] = odds[heaviest]
     net.p["word"][:, 0] = start
-    index, text = window_table(np.concatenate(texts), np.array([len(t) for t in texts]))
+    lengths = np.array([len(t) for t in texts])
+    index, text = window_table(np.concatenate(texts), lengths, FIT_STRIDE)
     target = labels[text].astype(np.float32)
 
     def some(of: np.ndarray) -> np.ndarray:
@@ -270,8 +324,9 @@ def fit_network(sample: pd.DataFrame, seed: int = 7) -> Network:
         epochs = int(np.clip(80_000 // len(both), 2, 8))
         _train(net, words, index[both], target[both], weights.astype(np.float32), epochs, rng)
         scores = net.window_scores(net.projected(net.inputs(rows, *char_rows(words))), index)
-    best = np.full(len(texts), 1e-7)
-    np.maximum.at(best, text, np.clip(scores, 1e-7, 1 - 1e-7))
+    # the cut is set on what texts are judged by: the highest of all their windows
+    tables = net.projected(net.inputs(rows, *char_rows(words)))
+    best = np.clip(net.highest(tables, np.concatenate(texts), lengths), 1e-7, 1 - 1e-7)
     logit = np.log(best / (1 - best))
     order = np.argsort(logit, kind="stable")
     right = np.r_[labels.sum(), labels.sum() + np.cumsum(np.where(labels[order] == 0, 1, -1))]
@@ -305,10 +360,7 @@ class Scorer:
         if fresh:
             more = self.net.projected(self.net.inputs(word_rows(fresh), *char_rows(fresh)))
             self.tables = tuple(np.concatenate([old[:-1], new]) for old, new in zip(self.tables, more, strict=True))
-        index, text = window_table(np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64))
-        highest = np.zeros(len(texts))
-        np.maximum.at(highest, text, self.net.window_scores(self.tables, index))
-        return highest
+        return self.net.highest(self.tables, np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64))
 
 
 def score_toxicity(docs: DataFrame, net: Network, columns: list[str], block_chars: int = 1_000_000) -> DataFrame:

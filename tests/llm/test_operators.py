@@ -94,12 +94,35 @@ def test_network_gradients():
 
 
 def test_windows_cover_every_word():
-    for n in (0, 1, 8, 9, 11, 12, 13, 21, 22, 100):
-        index, text = toxicity.window_table(np.arange(n + 3), np.array([n, 3]))
+    for n, stride in product((0, 1, 8, 9, 11, 12, 13, 21, 22, 100), (1, toxicity.FIT_STRIDE)):
+        index, text = toxicity.window_table(np.arange(n + 3), np.array([n, 3]), stride)
         assert set(index[text == 0].ravel()) - {-1} == set(range(n))
         assert set(index[text == 1].ravel()) - {-1} == {n, n + 1, n + 2}
 
 
+def test_scores_are_the_highest_of_every_window(spark):
+    """Against each window of each text by itself, across texts of a batch, short ones between long ones, and batches."""
+    rng = np.random.default_rng(8)
+    net = toxicity.Network(3)
+    for name in ("word", "char", "out", "attend"):
+        net.p[name] = (net.p[name] + rng.normal(0, 1.0, net.p[name].shape)).astype(np.float32)
+    sizes = [30, 0, 5000, 1, 12, 11, 13, 3, 40, 12, 400]
+    rows = [(i, " ".join(rng.choice(WORDS, n)), "s") for i, n in enumerate(sizes)] + [(90, None, "s"), (91, "7 + 8", "s")]
+
+    def truth(text):
+        words = toxicity.words_of(text)
+        if not words:
+            return float(net.window_scores(net.projected(np.empty((0, 2 * toxicity.WIDTH), np.float32)), np.full((1, toxicity.WINDOW), -1))[0])
+        tables = net.projected(net.inputs(toxicity.word_rows(words), *toxicity.char_rows(words)))
+        starts = range(max(len(words) - toxicity.WINDOW, 0) + 1)
+        windows = [[w if w < len(words) else -1 for w in range(i, i + toxicity.WINDOW)] for i in starts]
+        return max(float(net.window_scores(tables, np.array([w]))[0]) for w in windows)
+
+    want = {i: truth(text) for i, text, _ in rows}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs(spark, rows), net, ["doc_id"], block_chars=700).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and len({round(v, 3) for v in want.values()}) > 5
+
+
 def test_char_rows_name_their_word():
     numbers, rows = toxicity.char_rows(["ab", "c", "déf"])
     assert numbers.tolist() == [0, 0, 1, 2, 2, 2, 2]
