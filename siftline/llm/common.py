@@ -11,6 +11,9 @@ from siftline.session import written
 #: A word: a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of text that one fit reads.
+FIT_BYTES = 64 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,11 +28,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int = FIT_BYTES) -> pd.DataFrame:
     """At most ``max_rows`` labelled rows outside the held-out fold, in an order that no partitioning changes.
 
     The rows are chosen on the narrow label table by the hash of their id, so the
-    text table is joined with a side of at most ``max_rows`` rows and never sorted.
+    text table is joined with a side of at most ``max_rows`` rows and never sorted. Of documents that
+    share an id, the text with the smallest hash is taken, combined in the tasks. Texts come to the
+    driver in that order, each that still fits into ``max_bytes`` together with those before it.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -40,9 +45,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .orderBy("at", "doc_id")
         .limit(max_rows)
     )
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = found.join(F.broadcast(chosen), "doc_id").limit(4 * max_rows).toPandas()
-    return rows.sort_values(["at", "doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("at", "doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = written(one.withColumn("size", F.octet_length("text")), "fit-sample")
+    fitting, total = [], 0
+    for row in sample.select("doc_id", "size").orderBy("at", "doc_id").collect():  # at most max_rows narrow rows
+        if total + row["size"] <= max_bytes:
+            fitting.append(row["doc_id"])
+            total += row["size"]
+    if not fitting:
+        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "text": pd.Series(dtype=object), "label": pd.Series(dtype="int32")})
+    rows = sample.where(F.col("doc_id").isin(fitting)).select("at", "doc_id", "text", "label").toPandas()
+    return rows.sort_values(["at", "doc_id"]).reset_index(drop=True)
 
 
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:

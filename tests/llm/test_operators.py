@@ -129,6 +129,20 @@ def test_char_rows_name_their_word():
     assert (toxicity.char_rows(["c"])[1] == rows[2:3]).all()
 
 
+def test_labelled_sample_is_one_bounded_row_for_each_id(spark):
+    from siftline.llm.common import labelled_sample
+
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}", "s") for i in range(60)] + [(free[0], f"copy {n}", "s") for n in range(500)] + [(None, "x", "s")]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(free[1], 1), (None, 1)], "doc_id long, toxic int")
+    some = [labelled_sample(docs(spark, rows).repartition(n), marks, "toxic", 40) for n in (1, 7)]
+    assert some[0].equals(some[1]) and len(some[0]) == 40 and set(some[0]["doc_id"]) <= set(free) and some[0]["doc_id"].is_unique
+    long = [(i, "y" * (1000 if i % 3 else 10), "s") for i in range(60)]
+    bounded = labelled_sample(docs(spark, long), marks, "toxic", 60, max_bytes=3500)
+    assert bounded["text"].str.len().sum() == 3160 and (bounded["text"].str.len() == 10).sum() == sum(i % 3 == 0 for i in free)
+    assert len(labelled_sample(docs(spark, long), marks, "toxic", 60, max_bytes=5)) == 0
+
+
 def labelled(spark, good, bad, name):
     rng = random.Random(5)
     rows, marks = [], []
