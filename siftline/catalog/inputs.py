@@ -75,6 +75,10 @@ def templated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Columns of lines whose text form is the same in every engine.
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
 def tagged_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated function per order whose text shows its class: (o_orderkey, code, label).
 

@@ -289,6 +289,26 @@ def oracle_sql() -> dict[str, str]:
     sql["take_split"] = f"""WITH placed AS (SELECT {line_key}, row_number() OVER (ORDER BY
  {place(*line_key.split(', '))}, {line_key}) AS pos FROM lineitem)
  SELECT {line_key}, CASE WHEN pos <= 20000 THEN 'train' ELSE 'val' END AS part FROM placed WHERE pos <= 25000"""
+    lines = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag"
+
+    def lines_in_order(*key: str) -> str:
+        return f"""row_number() OVER (PARTITION BY l_returnflag ORDER BY {place(*key)}, {', '.join(key)},
+ {place(*lines.split(', '))}, {lines}) AS pos"""
+
+    sql["stratified_sample_lines"] = f"""WITH totals AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag),
+ quotas AS (SELECT l_returnflag, least(n, greatest(1, round_even(n * (CAST(3001 AS DOUBLE) / sum(n) OVER ()), 0))) AS quota FROM totals),
+ ranked AS (SELECT {lines}, {lines_in_order('l_orderkey', 'l_linenumber')} FROM lineitem)
+ SELECT {lines} FROM ranked JOIN quotas USING (l_returnflag) WHERE pos <= quota"""
+    sql["split_lines_by_order"] = f"""WITH totals AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag),
+ sized AS (SELECT *, sum(n) OVER () AS all_rows, CAST(ceil(sum(n) OVER () * 0.2) AS BIGINT) AS test_rows FROM totals),
+ based AS (SELECT *, (n * test_rows) // all_rows AS base, (n * test_rows) % all_rows AS rest FROM sized),
+ quotas AS (SELECT l_returnflag, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, l_returnflag)
+   <= test_rows - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM based),
+ ranked AS (SELECT {lines}, {lines_in_order('l_orderkey')} FROM lineitem)
+ SELECT {lines}, pos <= quota AS in_test FROM ranked JOIN quotas USING (l_returnflag)"""
+    sql["take_split_without_key"] = f"""WITH placed AS (SELECT l_returnflag, l_linenumber, row_number() OVER (ORDER BY
+ {place('l_returnflag', 'l_linenumber')}, l_returnflag, l_linenumber) AS pos FROM lineitem)
+ SELECT l_returnflag, l_linenumber, CASE WHEN pos <= 2500 THEN 'train' ELSE 'val' END AS part FROM placed WHERE pos <= 3200"""
     sql["seeded_order"] = f"SELECT doc_id, {place('doc_id')} AS place FROM documents"
     sql["example_rows"] = f"SELECT doc_id, lang FROM documents ORDER BY {place('doc_id')}, doc_id LIMIT 3"
 

@@ -197,6 +197,28 @@ def take_split(spark, sf_dir):
     return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
 
 
+@query
+def stratified_sample_lines(spark, sf_dir):
+    """The key repeats: order and line number do not tell lines apart."""
+    lines = I.table(spark, sf_dir, "lineitem").select(*I.LINE_COLUMNS)
+    return sampling.stratified_sample(lines, "l_returnflag", 3001, ["l_orderkey", "l_linenumber"], SEED)
+
+
+@query
+def split_lines_by_order(spark, sf_dir):
+    """Test lines by a key that each order's lines share, so that quotas end inside orders."""
+    lines = I.table(spark, sf_dir, "lineitem").select(*I.LINE_COLUMNS)
+    return sampling.flag_split(lines, "l_returnflag", 0.2, "l_orderkey", SEED)
+
+
+@query
+def take_split_without_key(spark, sf_dir):
+    """No key at all: lines equal in both columns cannot be told apart, their numbers are exact all the same."""
+    lines = I.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber")
+    train, val = sampling.take_split(lines, 2500, 700, None, SEED)
+    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+
+
 @query
 def seeded_order(spark, sf_dir):
     documents = I.table(spark, sf_dir, "documents").select("doc_id")

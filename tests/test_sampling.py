@@ -185,7 +185,27 @@ def test_a_quota_above_the_class_size_takes_the_class(spark):
     assert S.take_quota(df, quotas, "label", "id").count() == 10
 
 
-def test_a_repeated_key_is_refused(spark):
-    df = spark.range(20).selectExpr("1 AS id", "'a' AS label")
-    with pytest.raises(Exception, match="not unique"):
-        S.stratified_sample(df, "label", 10, "id").count()
+def test_repeated_keys_give_exact_numbers(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN_ROWS", 4)
+    same = spark.range(20).selectExpr("1 AS id", "'a' AS label")
+    assert S.stratified_sample(same, "label", 10, "id").count() == 10
+    train, test = S.stratified_split(same.withColumn("n", F.lit(1.5)), "label", 0.25, None)
+    assert (train.count(), test.count()) == (15, 5)
+    assert [part.count() for part in S.take_split(same, 12, 5)] == [12, 5]
+    assert S.take_first(same, 200).count() == 20
+
+
+def test_a_hot_key_is_ordered_by_all_columns(spark):
+    """A third of the rows share the null key; every size and quota is met, reruns and partitions agree, and parts are disjoint."""
+    rows = [(None if i % 3 == 0 else i // 4, i // 2 * 2, "ab"[i % 2], f"t{i % 50}") for i in range(900)]
+    frames = [spark.createDataFrame(rows, "id int, n int, label string, text string").repartition(p) for p in (1, 6)]
+    for size in (101, 150, 333, 500, 640):
+        first = [sorted(map(str, S.take_first(f, size, "id").collect())) for f in frames]
+        assert len(first[0]) == size and first[0] == first[1]
+        train, val = (sorted(map(str, p.collect())) for p in S.take_split(frames[1], size, 200, "id"))
+        assert train == first[0] and train + val != val and sorted(train + val) == sorted(map(str, S.take_first(frames[0], size + 200, "id").collect()))
+    for fraction in (0.1, 0.37, 0.5):
+        train, test = (p.collect() for p in S.stratified_split(frames[0], "label", fraction, "id"))
+        assert sorted(map(str, train + test)) == sorted(map(str, frames[0].collect())) and len(test) == -(-900 * fraction // 1)
+    held = S.balanced_holdout(frames[0], "label", 2, 100, 300, "id")
+    assert held.count() == 300
