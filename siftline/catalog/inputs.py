@@ -96,6 +96,13 @@ def tagged_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), label.alias("label"))
 
 
+def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per order: its tagged function, and the same as a method below a decorator that is none of its own."""
+    method = F.regexp_replace(F.regexp_replace("code", "def f_", "def g_"), "\n    return", "\n        return")
+    text = F.concat(F.col("code"), F.lit("\n\nclass C:\n    @wrap(a << b, c ^ d)\n    "), method)
+    return tagged_code(spark, sf_dir).select("o_orderkey", text.alias("code"))
+
+
 def templated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per order: a class with a method, a function, an async function;
     every seventh file does not parse and every eleventh has no function."""

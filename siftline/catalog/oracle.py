@@ -386,6 +386,20 @@ def oracle_sql() -> dict[str, str]:
     names = " ".join(f"WHEN {code} THEN '{name}'" for code, name in LABEL_NAMES.items())
     sql["boosted_scores"] = f"""WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS label FROM orders)
  SELECT o_orderkey, label, label AS prediction, CASE label {names} END AS bug_type, label <> 0 AS pass_on FROM t"""
+    chosen = lambda some: f"list_extract([{', '.join(text(o) for o in some)}], CAST(o_custkey % {len(some)} AS INTEGER) + 1)"
+    functions = f"""classed AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS label,
+  CASE WHEN o_orderkey % 4 = 1 THEN {chosen(TEMPLATE_OPERATORS[7:])} ELSE {chosen(TEMPLATE_OPERATORS[:5])} END AS op FROM orders),
+ bodies AS (SELECT o_orderkey, label, 'return ' || CASE WHEN label = 3 THEN 'b' ELSE 'a' END || ' ' || op || ' ' ||
+  CASE WHEN label IN (2, 3) THEN 'a' ELSE 'b' END AS body FROM classed),
+ functions AS (SELECT o_orderkey, label, CAST(ordinal AS INTEGER) AS ordinal, CASE ordinal WHEN 0 THEN 'f_' ELSE 'g_' END || o_orderkey AS function_name,
+  'def ' || CASE ordinal WHEN 0 THEN 'f_' ELSE 'g_' END || o_orderkey || E'(a, b):\\n' || CASE ordinal WHEN 0 THEN '    ' ELSE '        ' END || body
+  AS function_code FROM bodies, range(2) t(ordinal))"""
+    sql["review_binary"] = f"""WITH {functions} SELECT o_orderkey, ordinal, function_name, function_code, CAST(label = 3 AS INTEGER) AS is_buggy,
+ CASE WHEN label = 3 THEN 'BUGGY' ELSE 'CLEAN' END AS status, CASE WHEN label = 3 THEN 'fix: ' || function_code END AS repair_input,
+ label = 3 AS above_threshold FROM functions"""
+    sql["review_multiclass"] = f"""WITH {functions} SELECT o_orderkey, ordinal, function_name, function_code, label AS prediction,
+ CASE label {names} END AS bug_type, label <> 0 AS pass_on, CASE WHEN label <> 0 THEN 'fix: ' || function_code END AS repair_input,
+ TRUE AS sure FROM functions"""
     sql["ast_features"] = f"SELECT o_orderkey, {ast_columns()} FROM orders"
     whole = "o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"
     sql["extract_functions"] = f"""SELECT o_orderkey, 0 AS ordinal, 'top_' || o_orderkey AS function_name,

@@ -21,7 +21,7 @@ from siftline.operators.counts import (
 )
 from siftline.plans import fix_pairs
 from siftline.plans.classifier import run_classifier_pipeline
-from siftline.plans.review import review_corpus
+from siftline.plans.review import review_corpus, review_multiclass as review_classes
 from siftline.schemas import CLEAN_TEXT, TASK_LABELS
 from siftline.session import shared_folder
 from siftline.sources import (
@@ -603,3 +603,25 @@ def review_files(spark, sf_dir):
     path = _own_path(spark, sf_dir, "model")
     learn.save_model(spark, model, path)
     return review_corpus(I.templated_files(spark, sf_dir), learn.load_model(spark, path))
+
+
+@query
+def review_binary(spark, sf_dir):
+    """Verdicts on functions whose class their text shows, by a saved and loaded forest."""
+    model = learn.fit_forest(_swapped(spark, sf_dir), "code", "label", fit_rows=FIT_ROWS, key="o_orderkey")
+    path = _own_path(spark, sf_dir, "model")
+    learn.save_model(spark, model, path)
+    reviewed = review_corpus(I.tagged_files(spark, sf_dir), learn.load_model(spark, path))
+    above = (F.col("probability") >= 0.30).alias("above_threshold")
+    return reviewed.select("o_orderkey", "ordinal", "function_name", "function_code", "is_buggy", "status", "repair_input", above)
+
+
+@query
+def review_multiclass(spark, sf_dir):
+    """Class and confidence of every function of every file, from one parse of the file."""
+    bounded = {"fit_rows": FIT_ROWS, "key": "o_orderkey"}
+    model = learn.fit_boosted(I.tagged_code(spark, sf_dir), "code", "label", rate=0.3, subset="sqrt", **bounded)
+    reviewed = review_classes(I.tagged_files(spark, sf_dir), model)
+    sure = (F.col("confidence").between(0.5, 1.0)).alias("sure")
+    names = ["o_orderkey", "ordinal", "function_name", "function_code", "prediction", "bug_type", "pass_on", "repair_input"]
+    return reviewed.select(*names, sure)

@@ -101,11 +101,14 @@ def _functions_by_level(tree: ast.AST) -> list[ast.FunctionDef]:
 def feature_counts(code: str | None) -> Counter:
     """Non-zero syntax features of one piece of code; empty when it does not parse."""
     tree = parse_or_none(code)
+    return Counter() if tree is None else tree_counts([tree])
+
+
+def tree_counts(roots: list[ast.AST]) -> Counter:
+    """Non-zero syntax features of some trees taken together."""
     seen: Counter = Counter()
-    if tree is None:
-        return seen
     names: Counter = Counter()
-    waiting = [tree]
+    waiting = list(roots)
     while waiting:
         node = waiting.pop()
         kind = type(node)
@@ -126,9 +129,12 @@ def feature_counts(code: str | None) -> Counter:
 
 
 def _feature_batch(codes: pa.Array) -> pa.Array:
-    grid = np.zeros((len(codes), len(AST_FEATURES)))
-    for row, code in enumerate(codes.to_pylist()):
-        counts = feature_counts(code)
+    return _feature_structs([feature_counts(code) for code in codes.to_pylist()])
+
+
+def _feature_structs(of_rows: list[Counter]) -> pa.Array:
+    grid = np.zeros((len(of_rows), len(AST_FEATURES)))
+    for row, counts in enumerate(of_rows):
         if counts:
             grid[row] = [counts.get(name, 0) for name in AST_FEATURES]
     return pa.StructArray.from_arrays(
@@ -146,47 +152,68 @@ def ast_features(code: Column) -> Column:
     return features(code)
 
 
-def function_slices(code: str | None) -> list[dict]:
-    """Every plain ``def`` in breadth-first order, as name and source slice.
+def sliced_functions(code: str | None) -> list[tuple[str, str, list[ast.AST]]]:
+    """(name, source slice, trees) of every plain ``def`` in breadth-first order; of the whole text without one.
 
     Slices are cut from the UTF-8 bytes by the parser's own byte offsets, so one
-    pass over the line starts serves all functions of a file.
+    pass over the line starts serves all functions of a file. A slice starts at its ``def``, so the trees
+    are those under the function without its decorators: what parsing the slice again would give.
     """
     if code is None:
         return []
     tree = parse_or_none(code)
     found = _functions_by_level(tree) if tree else []
     if not found:
-        return [{"ordinal": 0, "function_name": WHOLE_SNIPPET, "function_code": code}]
+        return [(WHOLE_SNIPPET, code, [tree] if tree else [])]
     raw = code.encode("utf-8", "surrogatepass")
     starts = [0, *(end.end() for end in re.finditer(rb"\r\n|\r|\n", raw))]
+    sliced = []
+    for node in found:
+        start, end = starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
+        inside = [child for child in _children(node, ast.AST, _NO_COUNT) if child not in node.decorator_list]
+        sliced.append((node.name, raw[start:end].decode("utf-8", "surrogatepass"), inside))
+    return sliced
+
+
+def function_slices(code: str | None) -> list[dict]:
+    """Every plain ``def`` in breadth-first order, as name and source slice."""
     return [
-        {
-            "ordinal": ordinal,
-            "function_name": node.name,
-            "function_code": raw[
-                starts[node.lineno - 1] + node.col_offset : starts[node.end_lineno - 1] + node.end_col_offset
-            ].decode("utf-8", "surrogatepass"),
-        }
-        for ordinal, node in enumerate(found)
+        {"ordinal": ordinal, "function_name": name, "function_code": text}
+        for ordinal, (name, text, _) in enumerate(sliced_functions(code))
     ]
 
 
+_SLICE_FIELDS = [("ordinal", pa.int32()), ("function_name", pa.string()), ("function_code", pa.string())]
+
+
 def extract_functions(code: Column) -> Column:
     """ARRAY of (ordinal, function_name, function_code), for use with ``inline``."""
 
     @F.arrow_udf(FUNCTION_SLICES)
     def slices(codes: pa.Array) -> pa.Array:
-        kind = pa.list_(
-            pa.struct(
-                [("ordinal", pa.int32()), ("function_name", pa.string()), ("function_code", pa.string())]
-            )
-        )
-        return pa.array([function_slices(code) for code in codes.to_pylist()], type=kind)
+        return pa.array([function_slices(code) for code in codes.to_pylist()], type=pa.list_(pa.struct(_SLICE_FIELDS)))
 
     return slices(code)
 
 
+def extract_featured_functions(code: Column) -> Column:
+    """ARRAY of (ordinal, function_name, function_code, ast), from one parse of each text."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType([*FUNCTION_SLICES.elementType.fields, T.StructField("ast", AST_FEATURE_TYPE)])))
+    def featured(codes: pa.Array) -> pa.Array:
+        ends, rows, counts = [0], [], []
+        for code in codes.to_pylist():
+            sliced = sliced_functions(code)
+            rows += [(ordinal, name, text) for ordinal, (name, text, _) in enumerate(sliced)]
+            counts += [tree_counts(trees) if trees else Counter() for _, _, trees in sliced]
+            ends.append(len(rows))
+        columns = [pa.array([row[at] for row in rows], type=kind) for at, (_, kind) in enumerate(_SLICE_FIELDS)]
+        structs = pa.StructArray.from_arrays([*columns, _feature_structs(counts)], names=[*dict(_SLICE_FIELDS), "ast"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
+    return featured(code)
+
+
 def register_sql(spark) -> None:
     """Make the code functions callable from SQL.
 

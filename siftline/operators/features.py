@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.code import AST_FEATURES, ast_features, extract_functions
+from siftline.functions.code import AST_FEATURES, ast_features, extract_featured_functions, extract_functions
 from siftline.functions.terms import (
     batch_term_stats,
     term_counts,
@@ -139,14 +139,14 @@ def assemble_features(
     return assembler.transform(df.withColumn("_ast_vector", dense)).drop("_ast_vector")
 
 
-def split_functions(df: DataFrame, code: str = "code") -> DataFrame:
+def split_functions(df: DataFrame, code: str = "code", with_ast: bool = False) -> DataFrame:
     """One row per function of each source text, in breadth-first order.
 
     Text without functions, or that does not parse, gives one row with all of it.
+    ``with_ast`` adds the syntax features of each function as ``ast``, from the same parse.
     """
-    return df.select(
-        *[name for name in df.columns if name != code], F.inline(extract_functions(F.col(code)))
-    )
+    functions = extract_featured_functions if with_ast else extract_functions
+    return df.select(*[name for name in df.columns if name != code], F.inline(functions(F.col(code))))
 
 
 def encode_fixed(

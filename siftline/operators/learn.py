@@ -41,15 +41,17 @@ class CodeModel:
     model: object
     with_ast: bool
 
-    def features(self, df: DataFrame, code: str) -> DataFrame:
-        return code_features(df, code, self.tfidf, self.with_ast)
+    def features(self, df: DataFrame, code: str, ast: str | None = None) -> DataFrame:
+        return code_features(df, code, self.tfidf, self.with_ast, ast)
 
 
-def code_features(df: DataFrame, code: str, tfidf: TfidfModel, with_ast: bool) -> DataFrame:
-    """Add the ``features`` vector a classifier reads."""
+def code_features(df: DataFrame, code: str, tfidf: TfidfModel, with_ast: bool, ast: str | None = None) -> DataFrame:
+    """Add the ``features`` vector a classifier reads. ``ast`` names syntax features that ``df`` holds, so nothing is parsed."""
     weighted = tfidf.vector(df, code)
     if not with_ast:
         return weighted.withColumnRenamed("tfidf", "features")
+    if ast is not None:
+        return assemble_features(weighted, ast=ast).drop("tfidf")
     return assemble_features(with_ast_features(weighted, code)).drop("tfidf", "ast")
 
 
@@ -163,9 +165,9 @@ def _fit(learner, prepared: DataFrame):
         kept.unpersist()
 
 
-def _class_probabilities(df: DataFrame, code_model: CodeModel, code: str) -> tuple[DataFrame, Column]:
+def _class_probabilities(df: DataFrame, code_model: CodeModel, code: str, ast: str | None = None) -> tuple[DataFrame, Column]:
     """Scored rows and their ``ARRAY<DOUBLE>`` of class probabilities."""
-    featured = code_model.features(df, code)
+    featured = code_model.features(df, code, ast)
     model = code_model.model
     if not isinstance(model, OneVsRestModel):
         return model.transform(featured), vector_to_array("probability")
@@ -177,9 +179,9 @@ def _class_probabilities(df: DataFrame, code_model: CodeModel, code: str) -> tup
     return spread.withColumn("_total", total), F.transform("_chances", lambda chance: chance / F.col("_total"))
 
 
-def score_multiclass(df: DataFrame, code_model: CodeModel, code: str = "function") -> DataFrame:
+def score_multiclass(df: DataFrame, code_model: CodeModel, code: str = "function", ast: str | None = None) -> DataFrame:
     """Add ``prediction``, ``bug_type``, ``confidence`` (4 places) and ``pass_on``."""
-    scored, chances = _class_probabilities(df, code_model, code)
+    scored, chances = _class_probabilities(df, code_model, code, ast)
     named = scored.withColumn("_chances_of", chances).withColumn("prediction", F.col("prediction").cast("int"))
     sure = F.round(F.element_at("_chances_of", F.col("prediction") + 1), 4)
     flagged = flag_multiclass(with_label_name(named, "prediction").withColumn("confidence", sure), "prediction")

@@ -30,10 +30,12 @@ def review_corpus(
 def review_multiclass(files: DataFrame, model: CodeModel, code: str = "code", intent: str | None = None) -> DataFrame:
     """One row per function with its class, confidence, whether it goes on, and then its repair input.
 
-    Every class but the clean one goes on. There is no shuffle here either.
+    Every class but the clean one goes on. There is no shuffle here either, and a file is
+    parsed once: its functions' syntax features come with their slices.
     """
-    functions = split_functions(drop_blank(files, code), code)
-    scored = score_multiclass(functions, model, "function_code")
+    ast = "ast" if model.with_ast else None
+    functions = split_functions(drop_blank(files, code), code, with_ast=model.with_ast)
+    scored = score_multiclass(functions, model, "function_code", ast).drop("ast")
     asked = repair_input(F.col("function_code"), F.col(intent) if intent else None)
     return scored.withColumn("repair_input", F.when(F.col("pass_on"), asked))
 

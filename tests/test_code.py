@@ -110,3 +110,15 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT id, function_name FROM files, LATERAL code_functions(code)").first()
     assert row[:] == (1, "f")
     assert spark.sql("SELECT code_features(code).op_Add AS n FROM files").select(F.col("n")).first()[0] == 1.0
+
+
+def test_one_parse_gives_the_features_of_each_slice(spark):
+    decorated = "@a(x + y)\ndef f(p=1 - 2):\n    @b(z * z)\n    def g(q):\n        return q in p\n    return -p\n"
+    texts = [SAMPLE, decorated, "x = 1 + a", "def (", "", None, *(c for c, _ in CASES)]
+    files = spark.createDataFrame(list(enumerate(texts)), "id int, code string")
+    featured = split_functions(files, "code", with_ast=True)
+    again = with_ast_features(split_functions(files, "code"), "function_code")
+    got = featured.orderBy("id", "ordinal").collect()
+    assert got == again.select(*featured.columns).orderBy("id", "ordinal").collect() and len(got) > 15
+    by_name = {r["function_name"]: r["ast"] for r in got if r["id"] == 1}
+    assert (by_name["f"]["op_Add"], by_name["f"]["op_Mult"], by_name["g"]["op_Mult"], by_name["f"]["unary_USub"]) == (0, 1, 0, 1)
