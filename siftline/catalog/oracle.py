@@ -341,6 +341,8 @@ def oracle_sql() -> dict[str, str]:
     sql["lint_findings"] = """SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 0 END AS position,
  CASE WHEN p_partkey % 4 < 2 THEN p_size END AS line, CASE WHEN p_partkey % 4 < 2 THEN p_brand END AS symbol FROM part
  UNION ALL SELECT p_partkey, 1, p_size, p_brand FROM part WHERE p_partkey % 4 = 0"""
+    sql["source_files"] = """SELECT s_suppkey, md5(E'def f():\\n    return \\'' || s_name || E'\\'\\n# end\\n') AS code_md5 FROM supplier"""
+    sql["write_once_read_back"] = "SELECT o_orderkey, o_custkey, TRUE AS first, FALSE AS second FROM orders"
     edged = f"{EDGE} || text || {EDGE}"
     sql["csv_round_trip"] = f"SELECT doc_id, md5({edged}) AS text_md5 FROM documents"
 
@@ -397,6 +399,8 @@ def oracle_sql() -> dict[str, str]:
     sql["review_binary"] = f"""WITH {functions} SELECT o_orderkey, ordinal, function_name, function_code, CAST(label = 3 AS INTEGER) AS is_buggy,
  CASE WHEN label = 3 THEN 'BUGGY' ELSE 'CLEAN' END AS status, CASE WHEN label = 3 THEN 'fix: ' || function_code END AS repair_input,
  label = 3 AS above_threshold FROM functions"""
+    sql["review_streamed"] = f"""WITH {functions} SELECT o_orderkey, ordinal, function_name, CAST(label = 3 AS INTEGER) AS is_buggy,
+ CASE WHEN label = 3 THEN 'BUGGY' ELSE 'CLEAN' END AS status, 1 AS deaths FROM functions"""
     sql["review_multiclass"] = f"""WITH {functions} SELECT o_orderkey, ordinal, function_name, function_code, label AS prediction,
  CASE label {names} END AS bug_type, label <> 0 AS pass_on, CASE WHEN label <> 0 THEN 'fix: ' || function_code END AS repair_input,
  TRUE AS sure FROM functions"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ from siftline.sources import (
     read_code_csv,
     read_labelled_functions,
     read_lint_reports,
+    read_source_files,
     write_code_csv,
+    write_once,
 )
+from siftline.streaming import batch_folders
 
 SEED = 42
 QUERIES: dict = {}
@@ -351,6 +355,27 @@ def csv_round_trip(spark, sf_dir):
     return read_code_csv(spark, path, documents.schema).select("doc_id", md5_hex(F.col("text")).alias("text_md5"))
 
 
+@query
+def source_files(spark, sf_dir):
+    """One file for each supplier, written and read back whole."""
+    text = F.concat(F.lit("def f():\n    return '"), "s_name", F.lit("'\n# end"))
+    root = _own_path(spark, sf_dir, "sources")
+    I.table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("value")).write.partitionBy("s_suppkey").text(root)
+    key = F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey")
+    return read_source_files(spark, root, "*.txt").select(key, md5_hex(F.col("code")).alias("code_md5"))
+
+
+@query
+def write_once_read_back(spark, sf_dir):
+    """A half-written folder is replaced, a finished one is left alone."""
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    path = _own_path(spark, sf_dir, "once")
+    half = orders.where(F.col("o_orderkey") % 2 == 0).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    half.parquet(path)
+    first, second = write_once(orders, path), write_once(orders.where("false"), path)
+    return spark.read.parquet(path).select("*", F.lit(first).alias("first"), F.lit(second).alias("second"))
+
+
 # ---- text functions ---------------------------------------------------------
 
 
@@ -625,3 +650,28 @@ def review_multiclass(spark, sf_dir):
     sure = (F.col("confidence").between(0.5, 1.0)).alias("sure")
     names = ["o_orderkey", "ordinal", "function_name", "function_code", "prediction", "bug_type", "pass_on", "repair_input"]
     return reviewed.select(*names, sure)
+
+
+@query
+def review_streamed(spark, sf_dir):
+    """Files that arrive in parts; one batch dies after its write, is played again, and counts once."""
+    model = learn.fit_forest(_swapped(spark, sf_dir), "code", "label", fit_rows=FIT_ROWS, key="o_orderkey")
+    source, target = (_own_path(spark, sf_dir, name) for name in ("arriving", "reviewed"))
+    files = I.tagged_files(spark, sf_dir)
+    files.repartition(3, "o_orderkey").write.parquet(source)
+    put, died = batch_folders(target, lambda batch: review_corpus(batch, model)), []
+
+    def put_and_die_once(batch, number):
+        put(batch, number)
+        if number == 1 and not died:
+            died.append(number)
+            raise RuntimeError("dies on purpose")
+
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    writer = arriving.writeStream.foreachBatch(put_and_die_once).option("checkpointLocation", f"{target}/_checkpoint")
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    except StreamingQueryException:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    reviewed = spark.read.parquet(target)
+    return reviewed.select("o_orderkey", "ordinal", "function_name", "is_buggy", "status", F.lit(len(died)).alias("deaths"))

@@ -36,6 +36,18 @@ def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") ->
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Write Parquet unless the path already holds a table."""
-    df.write.mode("ignore").parquet(path)
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed: its last act is the marker file. A half-written folder has none."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
+def write_once(df: DataFrame, path: str) -> bool:
+    """Write Parquet unless ``path`` holds a finished table; whether it was written.
+
+    What a job that died left at ``path`` is replaced. Needs the marker files that Spark writes by default.
+    """
+    if is_finished(df.sparkSession, path):
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True

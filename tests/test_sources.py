@@ -169,3 +169,10 @@ def test_fields_of_other_types_become_null_and_the_record_stays(spark):
 def test_records_are_read_without_python(spark):
     plan = parse_records(spark.createDataFrame([('{"diff":"x"}',)], "value string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_half_written_table_is_not_prepared(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    assert write_once(spark.range(9), path) and not write_once(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 9
