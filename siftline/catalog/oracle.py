@@ -413,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
  UNION ALL SELECT o_orderkey, 2, 'inner', E'def inner(x):\\n            return x' FROM orders WHERE {whole}
  UNION ALL SELECT o_orderkey, 0, 'UserSnippet', CASE WHEN o_orderkey % 7 = 0 THEN 'def broken_' || o_orderkey || E'(:\\n'
  ELSE 'x = ' || o_orderkey || E'\\n' END FROM orders WHERE NOT ({whole})"""
+    sql["extract_functions_sql"] = sql["extract_functions"]
 
     # ---- evaluation
     sql["accuracy"] = f"""WITH {PREDICTED} SELECT

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.catalog import inputs as I
+from siftline.functions.code import register_sql
 from siftline.functions.text import md5_hex, parse_json, rstrip, split_lines, strip
 from siftline.functions.tokens import ngrams, tokenize_bug_aware, tokenize_legacy
 from siftline.operators import curate, diffs, evaluate, features, filters, learn, repair_text, sampling
@@ -511,6 +512,16 @@ def extract_functions(spark, sf_dir):
     return features.split_functions(I.templated_files(spark, sf_dir))
 
 
+@query
+def extract_functions_sql(spark, sf_dir):
+    """The same in SQL: a lateral join keeps the file's own columns."""
+    register_sql(spark)
+    files = I.templated_files(spark, sf_dir)
+    return spark.sql(
+        "SELECT f.o_orderkey, c.ordinal, c.function_name, c.function_code FROM {files} f, LATERAL code_functions(f.code) c", files=files
+    )
+
+
 # ---- evaluation -------------------------------------------------------------
 
 
