@@ -78,3 +78,11 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
         .withColumn(name, (F.col("_start") + F.col("_row") - 1).cast("long"))
         .drop("_part", "_row", "_start")
     )
+
+
+def ordinals(df: DataFrame, keys: list[str], n: str, into: str, share: int) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 as ``into``; rows, told apart by ``keys``, are dealt over tasks in runs of ``share`` numbers."""
+    runs = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(share).cast("long"))))
+    upto = F.least(F.col("_from") + share, F.col(n)) - 1
+    dealt = runs.repartition("_from", *keys)
+    return dealt.withColumn(into, F.explode(F.sequence(F.col("_from"), upto))).drop("_from")

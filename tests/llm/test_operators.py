@@ -525,6 +525,28 @@ def test_mix(spark, monkeypatch):
     assert systematic_mix.mixed_sizes(docs(spark, [])).count() == 0
 
 
+def test_mix_of_rows_without_or_with_one_id(spark, monkeypatch):
+    """A third of the rows have no id, many of one size, and a block of them are equal in every column."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randrange(1, 9))), "a") for i in range(300)]
+    rows += [(None, " ".join(rng.choices(WORDS, k=4)), "a") for _ in range(90)] + [(None, "all the same", "a")] * 60
+    rows += [(7, " ".join(rng.choices(WORDS, k=4)), "b") for _ in range(70)] + [(8, "b b", "b")] * 50 + [(9, None, None)] * 40
+    frame = docs(spark, rows)
+    plain = systematic_mix.mixed_sizes(frame).collect()
+    plain_mix = sorted(map(str, systematic_mix.mix(frame).collect()))
+    monkeypatch.setattr(systematic_mix, "GROUP_ROWS", 8)
+    got = systematic_mix.mixed_sizes(frame).collect()
+    assert sorted(map(str, got)) == sorted(map(str, plain))  # groups change no position
+    assert sorted(map(str, systematic_mix.mixed_sizes(frame.repartition(5)).collect())) == sorted(map(str, got))
+    mixed = sorted(map(str, systematic_mix.mix(frame).collect()))
+    assert mixed == sorted(map(str, systematic_mix.mix(frame.repartition(5)).collect()))
+    assert len(mixed) == len(plain_mix) == sum(r["copies"] for r in got)
+    wide = systematic_mix.copies(frame)
+    assert wide.columns == [*frame.columns, "size", "source_size", "target", "copies", "taken"]
+    count = lambda found: sorted(((r["doc_id"], r["text"], r["source"]) for r in found), key=repr)
+    assert count(wide.collect()) == count(frame.collect())
+
+
 def test_minimax_search():
     rng = random.Random(1)
     for _ in range(500):
@@ -567,6 +589,21 @@ def test_shards(spark, monkeypatch):
     assert minimax_shards.shards(docs(spark, [])).count() == 0
 
 
+def test_shards_of_rows_without_or_with_one_id(spark, monkeypatch):
+    rows = [(i, f"text {i % 90}") for i in range(200)] + [(None, "hot")] * 80 + [(5, "hot")] * 30 + [(1000 + i, "hot") for i in range(40)]
+    rows += [(None, None)] * 20 + [(None, "")] * 15
+    frame = docs(spark, rows)
+    plain = minimax_shards.shards(frame, 6).collect()
+    monkeypatch.setattr(minimax_shards, "GROUP_ROWS", 7)
+    got = minimax_shards.shards(frame, 6).collect()
+    narrow = lambda found: sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in found), key=repr)
+    assert narrow(got) == narrow(plain) and len(got) == len(rows)
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+    again = minimax_shards.shards(frame.repartition(4), 6).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 # ---- registered queries and the pipeline ---------------------------------------
 
 
