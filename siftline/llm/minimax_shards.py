@@ -8,6 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.llm.common import ordinals
 from siftline.session import written
 
 SHARDS = 40
@@ -134,7 +135,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     slot numbers a shard's rows from 0 by digest; copies follow each other in parts
     dealt by doc_id, and by doc_id in a part, so no task holds a whole shard or group.
 
-    A null text is an empty one. Repeated rows and null ids are kept (null first).
+    A null text is an empty one. Repeated rows and null ids are kept (null first). Rows equal in id and
+    text that are more than ``GROUP_ROWS`` make a part of their own, after the others, and travel as one with their number.
     Other columns are not looked at. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
@@ -157,7 +159,21 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         digits += 1
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     rows = rows.withColumn("part", part)
-    counted = written(rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), "shard-parts")
+    same = None
+    if parts > 1:
+        heavy = groups.where(F.col("n") > GROUP_ROWS).select("key")
+        equal = rows.join(heavy, "key", "left_semi").groupBy("key", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+        same = written(equal.where(F.col("n") > GROUP_ROWS).withColumn("part", (nth + parts - 1).cast("int")), "shard-same")
+        if same.isEmpty():
+            same = None
+        else:
+            known = same.select(F.col("key").alias("_key"), F.col("doc_id").alias("_doc_id"))
+            rows = rows.join(known, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti")
+    counted = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    if same is not None:
+        counted = counted.unionByName(same.select("key", "part", "n"))
+    counted = written(counted, "shard-parts")
     counted = counted.withColumn("run", F.substring("key", 1, digits))
     runs = counted.groupBy("run").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -170,9 +186,12 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     starts = written(starts.select("key", "part", (F.col("base") + F.col("ahead")).alias("start"), shard.alias("shard")), "shard-starts")
     firsts = starts.groupBy("shard").agg(F.min("start").alias("first"))
     inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id"))
+    numbered = rows.withColumn("nth", (inside - 1).cast("long"))
+    if same is not None:
+        many = ordinals(same, ["key", "part"], "n", "nth", GROUP_ROWS)
+        numbered = numbered.unionByName(many.select(*numbered.columns))
     return (
-        rows.withColumn("nth", inside - 1)
-        .join(starts, ["key", "part"])
+        numbered.join(starts, ["key", "part"])
         .join(F.broadcast(firsts), "shard")
         .select(
             "doc_id",
