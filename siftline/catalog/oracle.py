@@ -372,6 +372,8 @@ def oracle_sql() -> dict[str, str]:
     sql["vocabulary_legacy"] = (
         f"WITH {CODE}, {legacy_terms}, {vocabulary('TRUE', 3, 15000)} SELECT idx, term, df, cf FROM vocab"
     )
+    long_terms = document_terms("documents", "doc_id", legacy_tokens("lower(text)"), 4)
+    sql["vocabulary_pruned"] = f"WITH {long_terms}, {vocabulary('TRUE', 3, 2000)} SELECT idx, term, df, cf FROM vocab"
     sql["tfidf_bug_aware"] = f"""WITH {aware_terms}, {vocabulary('doc_id % 5 <> 0', 2, 20000)},
  {weights('documents', 'doc_id', 'doc_id % 5 <> 0', '(1.0 + ln(tf))')}"""
     sql["tfidf_legacy"] = f"""WITH {CODE}, {legacy_terms}, {vocabulary('TRUE', 3, 15000)},

@@ -472,6 +472,14 @@ def vocabulary_bug_aware(spark, sf_dir):
     return features.fit_vocab(features.term_stats(documents, "text", aware), aware.min_df, aware.max_features)
 
 
+@query
+def vocabulary_pruned(spark, sf_dir):
+    """The 2,000 most used runs of up to four tokens; rarer ones are dropped before the shuffle."""
+    documents = I.spread_table(spark, sf_dir, "documents")
+    stats = features.frequent_term_stats(documents, "text", features.LEGACY, 3, 2000)
+    return features.fit_vocab(stats, 3, 2000)
+
+
 def _weights(train: DataFrame, whole: DataFrame, key: str, code: str, profile) -> DataFrame:
     long = features.fit_tfidf(train, code, profile).long(whole, key, code)
     return long.select(key, "term", F.round("weight", 6).alias("weight"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.code import AST_FEATURES, ast_features, extract_featured_functions, extract_functions
+from siftline.functions.term_sketch import WIDTH, heavy_counters, heavy_table, heavy_term_stats, sketch_terms
 from siftline.functions.terms import (
     batch_term_stats,
     term_counts,
@@ -20,6 +21,10 @@ from siftline.functions.terms import (
     vocabulary_ids,
 )
 from siftline.functions.tokens import tokenize_bug_aware, tokenize_legacy
+from siftline.session import planned_bytes, written
+
+#: Input bytes from which a vocabulary takes a pass more to keep rare terms out of the shuffle; the result is the same.
+PRUNE_BYTES = 4 << 30
 
 
 @dataclass(frozen=True)
@@ -66,6 +71,30 @@ def term_stats(df: DataFrame, code: str, profile: Profile) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
+def frequent_term_stats(
+    df: DataFrame, code: str, profile: Profile, min_df: int, max_features: int, width: int = WIDTH
+) -> DataFrame:
+    """The rows of ``term_stats`` that can be among the ``max_features`` most used terms, with exact counts.
+
+    A first pass gives each task's most used terms, whose sums are lower bounds, and a
+    count sketch, whose counters are upper bounds. As many terms as wanted reach the
+    last of the best lower bounds, so a term that a counter keeps below it cannot be
+    chosen, ties included. The second pass drops such terms inside the task and counts
+    the others exactly. With fewer terms than wanted nothing is dropped.
+    """
+    tokens = df.select(profile.tokens(code).alias("tokens"))
+    span = (profile.shortest, profile.longest)
+    sketches = written(sketch_terms(tokens, "tokens", *span, max_features, width), "term-sketch")
+    sums = sketches.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    best = sums.where(F.col("df") >= min_df).orderBy(F.desc("cf")).limit(max_features).select("cf")
+    bound = best.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("least")).first()
+    if bound["n"] < max_features:
+        return term_stats(df, code, profile)
+    heavy = heavy_table(heavy_counters(sketches, bound["least"]).toArrow(), width)
+    partial = heavy_term_stats(tokens, "tokens", *span, heavy, width)
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def fit_vocab(stats: DataFrame, min_df: int, max_features: int) -> DataFrame:
     """(idx, term, df, cf) of the most used terms; index in term order, from 0.
 
@@ -116,11 +145,13 @@ def fit_tfidf(
     The vocabulary holds at most ``max_features`` rows, so bringing it to the driver
     and into the tasks is bounded by a parameter and not by the data.
     """
-    vocab = fit_vocab(
-        term_stats(df, code, profile),
-        profile.min_df if min_df is None else min_df,
-        profile.max_features if max_features is None else max_features,
-    )
+    min_df = profile.min_df if min_df is None else min_df
+    max_features = profile.max_features if max_features is None else max_features
+    if planned_bytes(df) >= PRUNE_BYTES:
+        stats = frequent_term_stats(df, code, profile, min_df, max_features)
+    else:
+        stats = term_stats(df, code, profile)
+    vocab = fit_vocab(stats, min_df, max_features)
     documents = df.count()
     return TfidfModel(profile, documents, with_idf(vocab, documents).orderBy("idx").toArrow())
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from siftline.functions import term_sketch
 from siftline.functions.tokens import tokenize_bug_aware
 from siftline.operators import features as X
 
@@ -56,6 +57,29 @@ def test_tfidf_by_hand(spark):
             assert np.allclose(row["tfidf"].toArray(), dense)
 
 
+def test_rare_terms_dropped_before_the_shuffle(spark, monkeypatch):
+    """Ties at the cut, terms spread thinly over tasks, and counters shared by many terms change nothing."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(n)}" for n in rng.zipf(1.3, 12) % 900) for _ in range(400)]
+    texts += [" ".join(f"tie{n}" for n in range(n % 5, 60, 5)) for n in range(40)] + [f"once{n} once{n}" for n in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, code string").repartition(7)
+    everything = X.term_stats(df, "code", X.BUG_AWARE).collect()
+    monkeypatch.setattr(term_sketch, "HELD", 2)
+    for size, width in ((30, 64), (60, 4096), (80, 1 << 16), (10_000, 4096)):
+        want = X.fit_vocab(X.term_stats(df, "code", X.BUG_AWARE), 2, size).collect()
+        few = X.frequent_term_stats(df, "code", X.BUG_AWARE, 2, size, width)
+        assert X.fit_vocab(few, 2, size).collect() == want
+        kept = {r["term"]: (r["df"], r["cf"]) for r in few.collect()}
+        assert kept.items() <= {r["term"]: (r["df"], r["cf"]) for r in everything}.items()
+        assert len(kept) < len(everything) / 4 or width == 64 or size == 10_000
+    nothing = df.where("id < 0")
+    assert X.fit_vocab(X.frequent_term_stats(nothing, "code", X.BUG_AWARE, 2, 5), 2, 5).count() == 0
+    monkeypatch.setattr(X, "PRUNE_BYTES", 0)
+    pruned = X.fit_tfidf(df, "code", X.BUG_AWARE, max_features=50)
+    monkeypatch.undo()
+    assert pruned.vocabulary.equals(X.fit_tfidf(df, "code", X.BUG_AWARE, max_features=50).vocabulary)
+
+
 def test_no_known_terms(spark):
     model = X.fit_tfidf(docs(spark), "code", X.BUG_AWARE, min_df=99)
     assert model.vocabulary.num_rows == 0
