@@ -387,6 +387,8 @@ def oracle_sql() -> dict[str, str]:
  array_to_string(list_resize(ids, 128, -100), ',') AS labels FROM coded"""
     sql["forest_scores"] = """SELECT o_orderkey, CAST(o_orderkey % 4 = 3 AS INTEGER) AS label,
  CAST(o_orderkey % 4 = 3 AS INTEGER) AS is_buggy FROM orders"""
+    sql["saved_pipeline"] = """SELECT o_orderkey, CAST(o_orderkey % 4 = 3 AS INTEGER) AS label,
+ CAST(o_orderkey % 4 = 3 AS INTEGER) AS prediction FROM orders"""
     names = " ".join(f"WHEN {code} THEN '{name}'" for code, name in LABEL_NAMES.items())
     sql["boosted_scores"] = f"""WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS label FROM orders)
  SELECT o_orderkey, label, label AS prediction, CASE label {names} END AS bug_type, label <> 0 AS pass_on FROM t"""

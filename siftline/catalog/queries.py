@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import StreamingQueryException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -614,6 +615,16 @@ def forest_scores(spark, sf_dir):
     return learn.score_binary(code, model, "code").select("o_orderkey", "label", "is_buggy")
 
 
+@query
+def saved_pipeline(spark, sf_dir):
+    """Predictions of a forest that was saved and loaded as one ML pipeline with its vectorizer."""
+    code = _swapped(spark, sf_dir)
+    path = _own_path(spark, sf_dir, "pipeline")
+    learn.save_model(spark, learn.fit_forest(code, "code", "label", fit_rows=FIT_ROWS, key="o_orderkey"), path)
+    scored = PipelineModel.load(path).transform(code)
+    return scored.select("o_orderkey", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
 @query
 def boosted_scores(spark, sf_dir):
     code = I.tagged_code(spark, sf_dir)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -17,15 +16,13 @@ from siftline.operators.counts import balanced_weights, with_label_name
 from siftline.operators.features import (
     BUG_AWARE,
     LEGACY,
-    PROFILES,
     Profile,
     TfidfModel,
-    assemble_features,
     fit_tfidf,
-    with_ast_features,
 )
 from siftline.operators.filters import flag_binary, flag_multiclass
 from siftline.operators.sampling import stratified_sample
+from siftline.operators.stages import CodeFeatures, code_features
 
 #: One in so many texts is kept from boosted trees, to end their rounds.
 HELD_SHARE = 10
@@ -45,16 +42,6 @@ class CodeModel:
         return code_features(df, code, self.tfidf, self.with_ast, ast)
 
 
-def code_features(df: DataFrame, code: str, tfidf: TfidfModel, with_ast: bool, ast: str | None = None) -> DataFrame:
-    """Add the ``features`` vector a classifier reads. ``ast`` names syntax features that ``df`` holds, so nothing is parsed."""
-    weighted = tfidf.vector(df, code)
-    if not with_ast:
-        return weighted.withColumnRenamed("tfidf", "features")
-    if ast is not None:
-        return assemble_features(weighted, ast=ast).drop("tfidf")
-    return assemble_features(with_ast_features(weighted, code)).drop("tfidf", "ast")
-
-
 def labelled_rows(df: DataFrame, label: str, fit_rows: int | None, key: list[str] | str | None, seed: int) -> DataFrame:
     """About ``fit_rows`` rows with the class shares of ``df``, drawn by ``key``, which tells rows apart; all without a bound."""
     if fit_rows is None:
@@ -148,7 +135,8 @@ def fit_boosted(
             models = list(pool.map(inheritable_thread_target(kept.sparkSession)(fit_one), classes))
     finally:
         kept.unpersist()
-    return CodeModel(tfidf, OneVsRestModel(models).setFeaturesCol("features"), with_ast=True)
+    both = OneVsRestModel(models)._set(featuresCol="features", classifier=learner)  # a model without its classifier cannot be saved
+    return CodeModel(tfidf, both, with_ast=True)
 
 
 def rounds_used(code_model: CodeModel) -> list[int]:
@@ -201,27 +189,20 @@ def score_binary(
     )
 
 
-def save_model(spark: SparkSession, code_model: CodeModel, path: str) -> None:
-    """Write classifier, vocabulary and settings under one folder."""
-    PipelineModel([code_model.model]).write().overwrite().save(f"{path}/classifier")
-    code_model.tfidf.terms_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    settings = {
-        "profile": code_model.tfidf.profile.name,
-        "documents": code_model.tfidf.documents,
-        "with_ast": code_model.with_ast,
-    }
-    text = spark.createDataFrame([(json.dumps(settings),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+def code_pipeline(code_model: CodeModel, code: str = "code") -> PipelineModel:
+    """The vectorizer and the classifier as one pipeline, which reads the column ``code``."""
+    return PipelineModel([CodeFeatures(tfidf=code_model.tfidf, with_ast=code_model.with_ast, inputCol=code), code_model.model])
+
+
+def save_model(spark: SparkSession, code_model: CodeModel, path: str, code: str = "code") -> None:
+    """Write all of a model as one ML pipeline; ``PipelineModel.load(path)`` reads it too."""
+    code_pipeline(code_model, code).write().session(spark).overwrite().save(path)
 
 
 def load_model(spark: SparkSession, path: str) -> CodeModel:
-    """Read what ``save_model`` wrote; a missing part is named in the error."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for part in ("classifier", "vocabulary", "settings"):
-        place = hadoop(f"{path}/{part}")
-        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            raise FileNotFoundError(f"no {part} under {path}; train and save a model first")
-    settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    vocabulary = spark.read.parquet(f"{path}/vocabulary").orderBy("idx").toArrow()
-    tfidf = TfidfModel(PROFILES[settings["profile"]], settings["documents"], vocabulary)
-    return CodeModel(tfidf, PipelineModel.load(f"{path}/classifier").stages[0], settings["with_ast"])
+    """Read what ``save_model`` wrote; a folder without it is named in the error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"no features and classifier under {path}; train and save a model first")
+    features, classifier = PipelineModel.read().session(spark).load(path).stages
+    return CodeModel(features.tfidf, classifier, features.with_ast)

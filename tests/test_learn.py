@@ -1,9 +1,12 @@
+import subprocess
+import sys
 from functools import partial
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import learn
+from siftline.operators import features, learn
 from siftline.operators.learn import load_model, save_model, score_binary, score_multiclass
 from siftline.plans.classifier import run_classifier_pipeline, run_forest_pipeline
 from siftline.plans.review import review_corpus, review_multiclass, review_summary
@@ -50,6 +53,37 @@ def test_models_come_back_the_same(spark, code, forest, tmp_path):
         load_model(spark, str(tmp_path / "nothing"))
 
 
+def test_a_pipeline_loads_in_a_fresh_session(spark, code, forest, tmp_path):
+    """Another process knows the folder only, and gives the same scores."""
+    boosted = learn.fit_boosted(code, "code", "label", rounds=2, depth=3, **VOCAB)
+    code.write.parquet(str(tmp_path / "code"))
+    for name, model in (("forest", forest), ("boosted", boosted)):
+        save_model(spark, model, str(tmp_path / name))
+        learn.code_pipeline(model, "code").transform(code).select("id", "prediction").write.parquet(str(tmp_path / f"{name}-here"))
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.ml import PipelineModel
+from siftline.session import build_session
+spark = build_session("fresh", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+code = spark.read.parquet({str(tmp_path / "code")!r})
+for name in ("forest", "boosted"):
+    scored = PipelineModel.load({str(tmp_path)!r} + "/" + name).transform(code)
+    scored.select("id", "prediction").write.parquet({str(tmp_path)!r} + f"/{{name}}-there")
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=300, capture_output=True)
+    for name in ("forest", "boosted"):
+        here, there = (sorted(spark.read.parquet(str(tmp_path / f"{name}-{side}")).collect()) for side in ("here", "there"))
+        assert here == there and len(here) == 200
+
+
+def test_a_profile_of_ones_own_is_not_saved(spark, code, tmp_path):
+    own = features.Profile("words", features.BUG_AWARE.tokenize, 1, 1, 1, 50, True)
+    model = learn.fit_forest(code, "code", "label", trees=2, depth=2, profile=own, **VOCAB)
+    with pytest.raises(ValueError, match="words"):
+        save_model(spark, model, str(tmp_path / "own"))
+
+
 def test_review_and_stream(spark, forest, tmp_path):
     files = tmp_path / "src"
     files.mkdir()
