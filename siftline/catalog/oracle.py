@@ -387,6 +387,15 @@ def oracle_sql() -> dict[str, str]:
  array_to_string(list_resize(ids, 128, -100), ',') AS labels FROM coded"""
     sql["forest_scores"] = """SELECT o_orderkey, CAST(o_orderkey % 4 = 3 AS INTEGER) AS label,
  CAST(o_orderkey % 4 = 3 AS INTEGER) AS is_buggy FROM orders"""
+    # every tagged order is told right, so the report is that of the split: a fifth of all orders, by largest remainder
+    sql["classifier_run"] = """WITH sizes AS (SELECT o_orderkey % 4 AS label, count(*) AS n FROM orders GROUP BY 1),
+ goal AS (SELECT label, n, CAST(ceil(sum(n) OVER () * 0.2) AS BIGINT) AS t, CAST(sum(n) OVER () AS BIGINT) AS whole FROM sizes),
+ parts AS (SELECT label, t, n * t // whole AS base, n * t % whole AS rest FROM goal),
+ dealt AS (SELECT label, base + CAST(row_number() OVER (ORDER BY rest DESC, label) <= t - sum(base) OVER () AS INTEGER) AS support FROM parts),
+ named AS (SELECT CAST(label AS VARCHAR) AS "row", support FROM dealt
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT sum(support) FROM dealt))
+ SELECT "row", CAST(1.0 AS DOUBLE) AS precision, CAST(1.0 AS DOUBLE) AS recall, CAST(1.0 AS DOUBLE) AS f1,
+  CAST(support AS BIGINT) AS support FROM named"""
     sql["saved_pipeline"] = """SELECT o_orderkey, CAST(o_orderkey % 4 = 3 AS INTEGER) AS label,
  CAST(o_orderkey % 4 = 3 AS INTEGER) AS prediction FROM orders"""
     names = " ".join(f"WHEN {code} THEN '{name}'" for code, name in LABEL_NAMES.items())
