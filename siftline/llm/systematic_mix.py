@@ -71,8 +71,8 @@ def copies(docs: DataFrame, seed: str = "mix", most: int = MOST) -> DataFrame:
     own, last in order. Repeated rows count each. Where many rows share an id, or have none, their
     hash range is split on by size and content, and rows equal in every column travel as one with their
     number, so no window holds them. Columns of ``docs`` must not be
-    called size, source_size, target, copies or taken; others are kept as they are.
-    An empty table stays empty.
+    called size, source_size, target, copies or taken, nor begin with an underscore; others are
+    kept as they are. An empty table stays empty.
     """
     sized = docs.withColumn("size", word_count(F.col("text")))
     content = _content(docs)
