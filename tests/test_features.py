@@ -125,3 +125,53 @@ def test_weights_need_no_shuffle(spark):
     model = X.fit_tfidf(docs(spark), "code", X.BUG_AWARE)
     plan = model.long(docs(spark), "id", "code")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
+
+
+def test_what_is_counted_together_is_bounded_by_tokens(monkeypatch):
+    import pyarrow as pa
+
+    from siftline.functions import term_sketch, terms
+
+    monkeypatch.setattr(terms, "SLICE_TOKENS", 50)
+    given, counted = [], terms._counted
+    for module in (terms, term_sketch):
+        monkeypatch.setattr(module, "_counted", lambda lists, *span: given.append(len(lists.flatten())) or counted(lists, *span))
+
+    class Rows:
+        """Keeps the function of mapInArrow."""
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    rows = [[f"t{n % 7}"] * (n % 9) for n in range(200)] + [None, [], ["long"] * 80]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["tokens"])
+    got = {}
+    for part in terms.batch_term_stats(Rows(), "tokens", 1, 1)(iter([batch])):
+        for term, df, cf in zip(*(column.to_pylist() for column in part.columns), strict=True):
+            got[term] = (got.get(term, (0, 0))[0] + df, got.get(term, (0, 0))[1] + cf)
+    flat = [token for row in rows for token in row or []]
+    assert got == {t: (sum(t in (row or []) for row in rows), flat.count(t)) for t in set(flat)}
+    assert sum(given) == len(flat) and len(given) > 10 and sorted(given)[-2:] == sorted([80, max(n for n in given if n < 80)])
+    assert max(n for n in given if n != 80) <= 50
+    given.clear()
+    list(term_sketch.sketch_terms(Rows(), "tokens", 1, 1, 3, 1024)(iter([batch])))
+    assert max(n for n in given if n != 80) <= 50
+
+
+def test_vectors_of_sliced_batches(spark, monkeypatch):
+    import numpy as np
+
+    from siftline.functions import terms
+
+    texts = [" ".join(f"w{n % k}" for n in range(k * 2)) for k in range(1, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, code string").coalesce(1)
+    model = X.fit_tfidf(df, "code", X.BUG_AWARE, 1, 100)
+    whole = {r["id"]: r["tfidf"] for r in model.vector(df, "code").collect()}
+    monkeypatch.setattr(terms, "SLICE_TOKENS", 10)
+    assert len(whole) == 29
+    sliced = {r["id"]: r["tfidf"] for r in model.vector(df, "code").collect()}
+    assert all(np.allclose(whole[i].toArray(), sliced[i].toArray()) for i in whole)
+    assert {r["id"] for r in X.terms(df, "id", "code", X.BUG_AWARE).collect()} == set(whole)
