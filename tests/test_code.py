@@ -122,3 +122,38 @@ def test_one_parse_gives_the_features_of_each_slice(spark):
     assert got == again.select(*featured.columns).orderBy("id", "ordinal").collect() and len(got) > 15
     by_name = {r["function_name"]: r["ast"] for r in got if r["id"] == 1}
     assert (by_name["f"]["op_Add"], by_name["f"]["op_Mult"], by_name["g"]["op_Mult"], by_name["f"]["unary_USub"]) == (0, 1, 0, 1)
+
+
+def test_parsing_leaves_nothing_in_the_process(monkeypatch):
+    """The parser keeps every identifier for good, so the process that holds a task must not parse."""
+    import os
+
+    import pyarrow as pa
+
+    from siftline.functions import code as C
+
+    monkeypatch.setattr(C, "PARSED_TEXTS", 3)
+    here = os.getpid()
+
+    def pids(codes):
+        return pa.array([os.getpid()] * len(codes), pa.int64())
+
+    texts = pa.array([f"def f{n}(): pass" for n in range(8)] + [None])
+    parts = list(C.parsed_apart(pids, iter([texts, texts.slice(0, 0)])))
+    assert [len(p) for p in parts] == [3, 3, 3]
+    found = {pid for part in parts for pid in part.to_pylist()}
+    assert here not in found and len(found) == 3
+    monkeypatch.setattr(C, "PARSED_BYTES", 16)
+    assert [len(p) for p in C.parsed_apart(pids, iter([texts]))] == [1] * 7 + [2]
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        list(C.parsed_apart(lambda codes: 1 / 0, iter([texts])))
+    with pytest.raises(RuntimeError, match="ended with code 7"):
+        list(C.parsed_apart(lambda codes: os._exit(7), iter([texts])))
+
+
+def test_udfs_parse_in_children(spark):
+    files = spark.createDataFrame([(n, f"def f{n}(a):\n    return a + {n}") for n in range(5)], "id int, code string")
+    register_sql(spark)
+    plan = spark.sql("SELECT id, function_name FROM {f}, LATERAL code_functions(code)", f=files)
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, plan.collect())) == [(n, f"f{n}") for n in range(5)]
