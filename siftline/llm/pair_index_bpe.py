@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text encoded together, and distinct words kept from one block to the next.
-BLOCK_CHARS, KEPT_WORDS = 8_000_000, 200_000
+BLOCK_CHARS, KEPT_WORDS = 4_000_000, 200_000
 
 #: The word pattern of this family of vocabularies, for lower-cased text of the Latin blocks.
 LATIN_PIECES = re.compile(
@@ -60,17 +60,17 @@ class PairIndexEncoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.left, self.right = keys // self.width, keys % self.width
-        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         letters = byte_letters()
         self.letters = {b: c for b, c in letters.items() if chr(b) != c}
-        self.inner, self.last = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        self.inner, self.last = np.zeros(512, np.int32), np.zeros(512, np.int32)
         for c in letters.values():
             self.inner[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + self.end]
         self.known: dict[str, tuple[str, str]] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 if it never merges."""
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -84,8 +84,8 @@ class PairIndexEncoder:
         at hand, so active ranks wait in a heap.
         """
         n = len(symbols)
-        symbols = symbols.astype(np.int64)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbols = symbols.astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         before[starts] = -1
         after[np.r_[starts[1:], n] - 1] = -1
         alive = np.ones(n, bool)
@@ -106,7 +106,7 @@ class PairIndexEncoder:
                     heapq.heappush(waiting, r)
                 index[r].append(some)
 
-        add(np.flatnonzero(after >= 0))
+        add(np.flatnonzero(after >= 0).astype(np.int32))
         while waiting:
             rank = heapq.heappop(waiting)
             found = index.pop(rank)
@@ -172,21 +172,22 @@ class PairIndexEncoder:
                 found += part.split()
         return found
 
-    def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """For each text its ids and its decoded form: token texts joined by blanks, as no decoder is named."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        """For each text its ids and its decoded form: token texts joined by blanks, as no decoder is named.
+
+        New words of all texts are learned together first. Texts are split again when their turn comes, so that
+        no more than one text's words and no form of another text are held.
+        """
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         for content, number in self.special.items():
             self.known[content] = (str(number), content)
-        split = [self._words(t or "") for t in texts]
-        fresh = dict.fromkeys(w for words in split for w in words if w not in self.known)
-        self.learn(list(fresh))
+        self.learn(list(set(w for t in texts for w in self._words(t or "") if w not in self.known)))
         known = self.known
-        found = []
-        for words in split:
+        for t in texts:
+            words = self._words(t or "")
             numbers, letters = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
-            found.append((" ".join(numbers), " ".join(letters)))
-        return found
+            yield " ".join(numbers), " ".join(letters)
 
 
 def _sha(text: str) -> str:
@@ -211,10 +212,11 @@ def encoded(docs: DataFrame, path: str, digests: bool = True, block_chars: int =
             found = encoder.encode(texts)
             numbers = pa.array(ids, pa.int64())
             if digests:
-                count = [a.count(" ") + 1 if a else 0 for a, _ in found]
-                rest = [pa.array(count, pa.int64()), pa.array([_sha(a) for a, _ in found], pa.string()), pa.array([_sha(b) for _, b in found], pa.string())]
+                count, of_ids, of_text = zip(*[(a.count(" ") + 1 if a else 0, _sha(a), _sha(b)) for a, b in found], strict=True)
+                rest = [pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             else:
+                found = list(found)
                 rest = [pa.array([[int(i) for i in a.split()] for a, _ in found], pa.list_(pa.int32())), pa.array([b for _, b in found], pa.string())]
                 names = ["ids", "decoded"]
             return pa.RecordBatch.from_arrays([numbers, *rest], ["doc_id", *names])

@@ -756,3 +756,18 @@ def test_sketches_pass_pairs_at_the_least_similarity():
 
     agree, total = near_text.AGREE, near_text.BANDS * near_text.ROWS
     assert sum(comb(total, i) * 0.8**i * 0.2 ** (total - i) for i in range(agree)) < 1e-4
+
+
+def test_encoding_holds_one_text_at_a_time():
+    import tracemalloc
+
+    encoder = pair_index_bpe.PairIndexEncoder(tokenizer_path("word_bpe_49k.json"))
+    texts = ["some words come again and again " * 100] * 500
+    tracemalloc.start()
+    try:
+        found = [len(ids.split()) for ids, _ in encoder.encode(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 500 and len(set(found)) == 1 and found[0] >= 600
+    assert peak < 4_000_000
