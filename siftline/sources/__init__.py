@@ -1,6 +1,6 @@
 """Readers and writers."""
 
-from siftline.sources.code_files import read_code_csv, read_source_files, write_code_csv, write_once
+from siftline.sources.code_files import read_code_csv, read_source_files, write_code_csv, write_once, write_source_files
 from siftline.sources.labelled import read_labelled_functions
 from siftline.sources.lint import read_lint_reports
 from siftline.sources.records import parse_records, read_commit_records
@@ -14,4 +14,5 @@ __all__ = [
     "read_source_files",
     "write_code_csv",
     "write_once",
+    "write_source_files",
 ]

@@ -36,6 +36,22 @@ def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") ->
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
 
 
+#: Tasks for each core that write source files.
+WRITERS_A_CORE = 4
+
+
+def write_source_files(df: DataFrame, key: str, path: str) -> None:
+    """One text file for each value of ``key``, in a folder ``key=value`` below ``path``, of the other column's text.
+
+    A file takes far longer than a row, so keys are dealt out to all cores, however few bytes they are; and tasks
+    move their files to their place themselves when they commit, where otherwise the driver moves all of them, one by one.
+    ``path`` must be new: a job that fails leaves some files, and no marker.
+    """
+    tasks = WRITERS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    writer = df.repartition(tasks, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(key).text(path)
+
+
 def is_finished(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` was committed: its last act is the marker file. A half-written folder has none."""
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")

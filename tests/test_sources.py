@@ -176,3 +176,17 @@ def test_a_half_written_table_is_not_prepared(spark, tmp_path):
     spark.range(5).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     assert write_once(spark.range(9), path) and not write_once(spark.range(3), path)
     assert spark.read.parquet(path).count() == 9
+
+
+def test_source_files_are_written_by_all_cores(spark, tmp_path):
+    """One input partition, and keys that repeat: one file a key, from many tasks, that the tasks themselves put in place."""
+    from siftline.sources import write_source_files
+
+    rows = [(n % 40, f"text {n % 40}") for n in range(80)] + [(None, "none")]
+    path = str(tmp_path / "files")
+    write_source_files(spark.createDataFrame(rows, "key int, value string").coalesce(1), "key", path)
+    files = sorted(tmp_path.glob("files/key=*/part-*"))
+    assert len(files) == 41 and len({f.parent for f in files}) == 41
+    assert len({f.name.split("-")[1] for f in files}) > 8
+    assert all(f.read_text().count("\n") == (1 if "HIVE" in str(f) else 2) for f in files)
+    assert (tmp_path / "files" / "_SUCCESS").exists()
