@@ -190,3 +190,16 @@ def test_source_files_are_written_by_all_cores(spark, tmp_path):
     assert len({f.name.split("-")[1] for f in files}) > 8
     assert all(f.read_text().count("\n") == (1 if "HIVE" in str(f) else 2) for f in files)
     assert (tmp_path / "files" / "_SUCCESS").exists()
+
+
+def test_orders_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    """However large the table is: partitions grow with it, and rows are shared evenly."""
+    from siftline import session
+    from siftline.catalog.inputs import tagged_code
+
+    orders = spark.range(4000).selectExpr("id AS o_orderkey", "id % 70 AS o_custkey", "repeat('x', 50) AS o_comment")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(session, "SMALL_SHARE", 512)
+    code = tagged_code(spark, str(tmp_path))
+    sizes = [r["count"] for r in code.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > spark.sparkContext.defaultParallelism and sum(sizes) == 4000 and max(sizes) < 4000 // 8
