@@ -12,7 +12,9 @@ Next to the files lie ``dictionary-<sha256>.zdict`` and ``manifest``, a Parquet
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,8 +41,9 @@ FIT_PIECES, PIECE_BYTES, DICTIONARY_BYTES = 2_000, 2_048, 64 * 1024
 LEVEL = 3
 #: Bytes of ids aimed at for one file, and bytes of frames read at once.
 FILE_BYTES, READ_BYTES = 64 << 20, 4 << 20
-#: Distinct pieces kept with their ids in a task, pieces given to the library together, and bytes of text encoded together.
-KEPT_PIECES, RUN, BLOCK_BYTES = 400_000, 256, 4 << 20
+#: Distinct pieces kept with their ids in a process, and most ids of one of them on average; pieces given to the library
+#: together, pieces whose ids are laid out together, and bytes of text encoded together.
+KEPT_PIECES, KEPT_IDS, RUN, LAID_PIECES, BLOCK_BYTES = 800_000, 8, 256, 1 << 18, 4 << 20
 
 #: Normaliser and pattern of this family of vocabularies, as its files state them. The pattern's pieces
 #: for plain Latin texts: no special token, no letter whose lower case is two, no white space beyond ASCII.
@@ -62,16 +66,78 @@ LATIN_SPEC = {
     },
 }
 PLAIN_LATIN = re.compile("[\t-\r -~¡-įı-ſ]*")
-LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\t-\r a-z0-9ªµºß-öø-ſ²³¹¼-¾]+")
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+#: What each lower-cased character of plain Latin texts is to the pattern.
+LATIN_KINDS = np.full(ord("ſ") + 1, _SIGN, np.uint8)
+for _kind, _found in ((_SPACE, "[\t-\r ]"), (_LETTER, "[a-zªµºß-öø-ſ]"), (_DIGIT, "[0-9²³¹¼-¾]")):
+    LATIN_KINDS[[i for i in range(len(LATIN_KINDS)) if re.fullmatch(_found, chr(i))]] = _kind
+BLANK = re.compile("[\t-\r ]")
+SHORTENED = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def latin_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of plain Latin texts, the number of each piece among them in order, and the pieces of each text.
+
+    A piece begins where the kind of character changes, and at every digit. An apostrophe that begins a run of signs
+    takes the letters of SHORTENED after it, and what follows these begins a piece.
+    """
+    text = "\n".join([*texts, ""]).lower()
+    chars = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    kinds = LATIN_KINDS[chars]
+    first = kinds == _DIGIT
+    first[:1] |= kinds[:1] != _SPACE
+    first[1:] |= (kinds[1:] != kinds[:-1]) & (kinds[1:] != _SPACE)
+    quotes = np.flatnonzero((chars == ord("'")) & first)
+    if len(quotes):
+        for letters in SHORTENED:
+            at = quotes[quotes + len(letters) < len(chars)]
+            for i, letter in enumerate(letters, 1):
+                at = at[chars[at + i] == ord(letter)]
+            first[at + 1] = False
+            after = at + len(letters) + 1
+            after = after[after < len(chars)]
+            first[after] |= kinds[after] != _SPACE
+    held = kinds != _SPACE
+    last = held.copy()
+    last[:-1] &= first[1:] | ~held[1:]
+    starts = np.flatnonzero(first)
+    # pieces lie end to end once the white space is gone, two bytes a character
+    offsets = np.r_[0, np.cumsum(np.flatnonzero(last) + 1 - starts)] * 2
+    laid = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars[held])])
+    coded = laid.dictionary_encode()
+    letters = b"".join(coded.dictionary.to_pylist()).decode("utf-16-le")
+    bounds = np.r_[0, np.cumsum(pc.binary_length(coded.dictionary).to_numpy() // 2)].tolist()
+    distinct = [letters[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return distinct, coded.indices.to_numpy(), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def blank_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``latin_pieces``, but the words between ASCII white space of any texts."""
+    words = [[w.decode() for w in t.encode().split()] for t in texts]
+    place: dict[str, int] = {}
+    indices = [place.setdefault(w, len(place)) for found in words for w in found]
+    return list(place), np.array(indices, np.int64), np.array([len(found) for found in words], np.int64)
+
+
+def parts_of(text: str, size: int) -> Iterator[str]:
+    """Parts of about ``size`` characters, cut after ASCII white space."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + size)
+        end = blank.end() if blank else len(text)
+        yield text[at:end]
+        at = end
 
 
 class WordIds:
-    """The library's ids of whole texts, each distinct piece of text encoded once in a task.
+    """The library's ids of whole texts, each distinct piece of text encoded once while it is held.
 
     The vocabulary drops white space and no merge, normalisation or special token crosses an ASCII
     blank, so a text's ids are those of its words between such blanks, one after another. If the file
     normalises and cuts texts as LATIN_SPEC says, texts of plain Latin letters, digits and signs are cut into
     its pieces here, and the library encodes each distinct piece; the words of other texts, or for other files, go to it whole.
+    Of more than KEPT_PIECES pieces, or as many times KEPT_IDS ids, the half that most blocks used is held on.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,37 +155,82 @@ class WordIds:
         if suffix:
             self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
         self.latin &= bool(suffix)
-        self.known: dict[str, bytes] = {}
+        self._hold({}, np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.latin and "<|" not in text and PLAIN_LATIN.fullmatch(text):
-            return LATIN_PIECES.findall(text.lower())
-        return [w.decode() for w in text.encode().split()]
+    def _hold(self, known: dict[str, int], ids: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> None:
+        """``known``: the number of each piece. Ids lie end to end in that order; ``used`` counts the blocks that used a piece."""
+        self.known, self.ids, self.sizes, self.used = known, ids, sizes, used
+        self.at = np.cumsum(sizes) - sizes
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], plain: bool) -> None:
         """Ids of pieces not known yet: plain ones, each a word to the library, in runs cut at the ends of words."""
-        plain = [p for p in pieces if self.latin and p == p.lower() and LATIN_PIECES.fullmatch(p) and "<|" not in p and PLAIN_LATIN.fullmatch(p)]
-        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        ids, sizes = [self.ids], [self.sizes]
+        runs = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)] if plain else []
         for run, found in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.kind)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
-            whole = ids.tobytes()
+            ids.append(np.array(found.ids, self.kind))
+            cuts = np.flatnonzero(self.ends[ids[-1]]) + 1
             if len(cuts) != len(run):
                 raise ValueError("the vocabulary ends words elsewhere")
-            for piece, low, high in zip(run, [0, *cuts], cuts, strict=False):
-                self.known[piece] = whole[low:high]
-        others = list(set(pieces).difference(plain))
-        for piece, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, self.kind).tobytes()
+            sizes.append(np.diff(cuts, prepend=0))
+        if not plain:
+            ids += [np.array(found.ids, self.kind) for found in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes.append(np.array([len(i) for i in ids[1:]], np.int64))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self._hold(self.known, np.concatenate(ids), np.concatenate(sizes), np.r_[self.used, np.zeros(len(pieces), np.int64)])
+
+    def _forget(self) -> None:
+        """Hold on the half of KEPT_PIECES that most blocks used; these blocks count half from now on."""
+        kept = np.argsort(-self.used, kind="stable")[: KEPT_PIECES // 2]
+        kept = np.sort(kept[np.cumsum(self.sizes[kept]) <= KEPT_PIECES // 2 * KEPT_IDS])
+        names = list(self.known)
+        self._hold({names[i]: n for n, i in enumerate(kept.tolist())}, self._laid(kept), self.sizes[kept], self.used[kept] // 2)
+
+    def _laid(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces, given by their numbers, end to end."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.at[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _coded(self, distinct: list[str], indices: np.ndarray, pieces: np.ndarray, plain: bool) -> list[bytes]:
+        """The ids of each text as bytes; its pieces are the next of ``indices`` into ``distinct``."""
+        numbers = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            numbers[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self._learn([distinct[i] for i in fresh.tolist()], plain)
+        self.used[numbers] += 1
+        numbers = numbers[indices]
+        found = b"".join(self._laid(numbers[i : i + LAID_PIECES]).tobytes() for i in range(0, len(numbers), LAID_PIECES))
+        bounds = np.r_[0, np.cumsum(self.sizes[numbers])][np.r_[0, np.cumsum(pieces)]] * self.kind.itemsize
+        return [found[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT_PIECES or len(self.ids) > KEPT_PIECES * KEPT_IDS:
+            self._forget()
+        plain = [self.latin and "<|" not in t and PLAIN_LATIN.fullmatch(t) is not None for t in texts]
+        latin = self._coded(*latin_pieces([t for t, p in zip(texts, plain, strict=True) if p]), True)
+        others = self._coded(*blank_words([t for t, p in zip(texts, plain, strict=True) if not p]), False)
+        coded = {True: iter(latin), False: iter(others)}
+        return [next(coded[p]) for p in plain]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > KEPT_PIECES:
-            self.known = {}
-        split = [self._pieces(t) if t else [] for t in texts]
-        fresh = set().union(*split).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        """The ids of each text as bytes. A text of more than BLOCK_BYTES characters is encoded part by part."""
+        long = {i: t for i, t in enumerate(texts) if t and len(t) > BLOCK_BYTES}
+        coded = self._block(["" if i in long else t or "" for i, t in enumerate(texts)])
+        for i, text in long.items():
+            coded[i] = b"".join(self._block([part])[0] for part in parts_of(text, BLOCK_BYTES))
+        return coded
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, changed: int, size: int) -> WordIds:
+    return WordIds(path)
+
+
+def encoder_of(path: str) -> WordIds:
+    """The encoder of this process, so the tasks of one worker build it once and share its pieces while the file stays as it is."""
+    found = os.stat(path)
+    return _encoder(path, found.st_mtime_ns, found.st_size)
 
 
 def id_type(vocabulary: int) -> str:
@@ -130,7 +241,7 @@ def id_arrays(docs: DataFrame, path: str, end: int) -> DataFrame:
     """``(doc_id, n, ids)``: ids as bytes of the vocabulary's width, ``end`` after each document's."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(path)
+        encoder = encoder_of(path)
         last = np.array([end], encoder.kind).tobytes()
 
         def made(ids: list, texts: list) -> pa.RecordBatch:

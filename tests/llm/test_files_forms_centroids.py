@@ -56,6 +56,30 @@ def test_words_give_the_ids_of_whole_texts(library):
     id_files.KEPT_PIECES = kept
 
 
+def test_long_texts_are_encoded_part_by_part(library, monkeypatch):
+    rng = random.Random(6)
+    bits = ["stone ", "water\n", "it's ", "é", "日本 ", "<|endoftext|>", " ", "'", "12", "abc", "\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(500)]
+    monkeypatch.setattr(id_files, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(id_files, "LAID_PIECES", 3)
+    assert all("".join(id_files.parts_of(t, 40)) == t for t in texts)
+    encoder, most = id_files.WordIds(tokenizer_path("word_bpe_49k.json")), []
+    cut = id_files.latin_pieces
+    monkeypatch.setattr(id_files, "latin_pieces", lambda own: cut(own) if len(own) > 1 else most.extend(map(len, own)) or cut(own))
+    got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert most and max(most) < 100 < max(map(len, texts))
+
+
+def test_a_process_forgets_long_pieces(monkeypatch):
+    encoder = id_files.WordIds(tokenizer_path("word_bpe_49k.json"))
+    monkeypatch.setattr(id_files, "KEPT_PIECES", 10)
+    for i in range(4):
+        encoder(["stone " + "".join(random.Random(i).choices("qxzj", k=3000))])
+    encoder(["stone"])
+    assert list(encoder.known) == ["stone"]
+
+
 def test_pieces_of_latin_texts_are_those_of_the_library(library):
     rng = random.Random(8)
     letters = [chr(i) for i in range(1, 0x250)]
@@ -71,6 +95,44 @@ def test_pieces_of_latin_texts_are_those_of_the_library(library):
     assert not other.latin  # another file's normaliser and pattern: no piece is cut here
 
 
+def test_pieces_are_cut_as_the_pattern_cuts_them():
+    pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\t-\r a-z0-9ªµºß-öø-ſ²³¹¼-¾]+")
+    rng = random.Random(11)
+    bits = ["'", "'", "s", "S", "re", "l", "v", "e", "'LL", "1", "½", ".", "É", "ŉ", "×", " ", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(20_000)] + ["'", "", "'s", "it's", "''s", "\xad'd"]
+    distinct, indices, pieces = id_files.latin_pieces(texts)
+    assert len(set(distinct)) == len(distinct) and len(pieces) == len(texts)
+    found, at = [distinct[i] for i in indices.tolist()], 0
+    for text, n in zip(texts, pieces.tolist(), strict=True):
+        assert found[at : at + n] == pattern.findall(text.lower())
+        at += n
+    assert at == len(found)
+    assert [len(x) for x in id_files.latin_pieces([])] == [0, 0, 0]
+
+
+def test_tasks_of_a_worker_give_a_piece_to_the_library_once(library, monkeypatch):
+    path, given = tokenizer_path("word_bpe_49k.json"), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(w for t in texts for w in t.split())
+            return library.encode_batch_fast(texts, **options)
+
+    id_files._encoder.cache_clear()
+    monkeypatch.setattr(id_files.encoder_of(path), "library", Counted())
+    for _ in range(3):  # tasks
+        encoder = id_files.encoder_of(path)
+        assert encoder(["Stone, stone water", "stone 石 a"]) == encoder(["Stone, stone water", "stone 石 a"])
+    assert sorted(given) == sorted(["stone", ",", "water", "石", "a"])
+    monkeypatch.setattr(id_files, "KEPT_PIECES", 8)
+    encoder([f"river{i} stone" for i in range(9)])
+    del given[:]
+    got = encoder(["stone river1 water"])  # only the four pieces of most calls are held on
+    assert "stone" not in given and len(encoder.known) < 8
+    assert np.frombuffer(got[0], encoder.kind).tolist() == library.encode("stone river1 water", add_special_tokens=False).ids
+    id_files._encoder.cache_clear()
+
+
 def test_odd_rows_are_kept_in_order(spark, library):
     rows = [r[:2] for r in odd_rows()] + [(None, "the stone"), (None, None), (-5, "x <|endoftext|> y")]
     path = tokenizer_path("word_bpe_49k.json")
