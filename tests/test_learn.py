@@ -178,3 +178,29 @@ def test_queries_take_terms_from_all_rows(spark, monkeypatch, name):
     with pytest.raises(Seen) as seen:
         queries.QUERIES[name](spark, sf_dir)
     assert seen.value.args[0] == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def own_orders(spark, folder, rows):
+    """Orders of a table of our own, one of them without a key."""
+    keys = spark.range(1, rows + 1).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % 31).alias("o_custkey"))
+    keys.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS o_orderkey, 5L AS o_custkey")).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_every_train_row_grows_the_boosted_trees(spark, monkeypatch, tmp_path):
+    from siftline.catalog import queries
+
+    seen, fit = [], learn.GBTClassifier.fit
+
+    def spy(self, rows, params=None):
+        model = fit(self, rows, params)
+        seen.append((self.isSet(self.validationIndicatorCol), rows.count(), model.getNumTrees, self.getMaxBins()))
+        return model
+
+    monkeypatch.setattr(learn.GBTClassifier, "fit", spy)
+    monkeypatch.setattr(queries, "FIT_ROWS", 100)
+    monkeypatch.setattr(queries, "run_classifier_pipeline", partial(run_classifier_pipeline, rounds=2))
+    report = {r["row"]: r["support"] for r in queries.classifier_run(spark, own_orders(spark, tmp_path, 400)).collect()}
+    assert report["accuracy"] == 80
+    # texts held back only tell the number of rounds; the model is then grown on them too
+    assert sorted(seen) == [(False, 320, 2, 32)] * 4 + [(True, 320, 2, 32)] * 4
