@@ -4,6 +4,7 @@ from functools import partial
 from pathlib import Path
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from siftline.operators import features, learn
@@ -204,3 +205,35 @@ def test_every_train_row_grows_the_boosted_trees(spark, monkeypatch, tmp_path):
     assert report["accuracy"] == 80
     # texts held back only tell the number of rounds; the model is then grown on them too
     assert sorted(seen) == [(False, 320, 2, 32)] * 4 + [(True, 320, 2, 32)] * 4
+
+
+def test_every_row_grows_the_forest_of_the_review(spark, monkeypatch, tmp_path):
+    from siftline.catalog import queries
+
+    seen, fit = [], learn._fit
+
+    def spy(learner, rows):
+        seen.append(rows.count())
+        return fit(learner, rows)
+
+    monkeypatch.setattr(learn, "_fit", spy)
+    monkeypatch.setattr(queries, "FIT_ROWS", 100)
+    got = queries.review_binary(spark, own_orders(spark, tmp_path, 400)).collect()
+    assert seen == [400] and len(got) == 800  # the order without a key has no text and no label
+    assert all((r["is_buggy"] == 1) == (r["o_orderkey"] % 4 == 3) == r["above_threshold"] for r in got)
+
+
+def test_cut_offs_come_from_all_rows(spark):
+    """One feature a marked row, and no other row that shows where to cut it."""
+    rows, marked = 40_000, 12
+    own = F.transform(F.sequence(F.lit(0), F.lit(marked - 1)), lambda i: (F.col("id") == i * 3001).cast("double"))
+    table = spark.range(rows).select((F.col("id") % 3001 == 0).cast("int").alias("label"), array_to_vector(own).alias("features"), "id")
+    marks = table.where(f"id < {marked * 3001}").select("label", "features")
+    rest = table.where(f"id >= {marked * 3001}").select(F.lit(0).alias("label"), "features")
+    learner = learn.RandomForestClassifier(
+        labelCol="label", numTrees=1, maxDepth=30, bootstrap=False, featureSubsetStrategy="all", seed=1
+    )
+    data = marks.unionByName(rest)
+    wrong = learn._fit(learner, data).transform(data).where("label <> prediction").count()
+    assert wrong == 0
+    assert [learn.bins_for(n) for n in (0, 1, 10_000, 10_001, 40_000, 40_001)] == [32, 32, 32, 101, 200, 201]
